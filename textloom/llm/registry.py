@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact, quality, simhash
+from textloom.llm import exact, mixing, pieces, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality": quality.op7_quality,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL}
+    return {"op5_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
