@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact, mixing, pieces, quality, simhash
+from textloom.llm import exact, mixing, pieces, quality, simhash, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_simhash": simhash.op6_simhash,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op5_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
