@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact, mixing, pieces, quality, simhash, suffixes
+from textloom.llm import exact, mixing, pieces, quality, ring, simhash, suffixes, topk
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality": quality.op7_quality,
+        "op8_topk": topk.op8_topk,
+        "op9_sharding": ring.op9_sharding,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffixes.SQL, "op5_exact_dedup": exact.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_suffix_dedup": suffixes.SQL, "op5_exact_dedup": exact.SQL, "op8_topk": topk.SQL, "op10_mixing": mixing.SQL}
