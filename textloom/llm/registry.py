@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact, mixing, pieces, quality, ring, simhash, suffixes, topk
+from textloom.llm import exact, html, licenses, mixing, pieces, quality, ring, simhash, suffixes, topk
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+        "op2_html": html.op2_html,
+        "op3_licenses": licenses.op3_licenses,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_exact_dedup": exact.op5_exact_dedup,
         "op6_simhash": simhash.op6_simhash,
