@@ -189,7 +189,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, column: str = "emb", k
             parts = [b for b in batches if b.num_rows]
             if parts:
                 t = pa.Table.from_batches(parts)
-                x = np.stack([np.asarray(v, np.float32) for v in t.column("v").to_pylist()])
+                x = np.stack([np.asarray(v, np.float64) for v in t.column("v").to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([t.column("k").to_pylist()]), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], [ids, vecs, vecs + "_dim"])
 
         kind = dict(df.dtypes)[key]
@@ -201,7 +201,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, column: str = "emb", k
     def search(batches):
         for b in batches:
             for qi, qv, qd, ii, iv, d in zip(*(b.column(c).to_pylist() for c in ("qi", "qv", "qv_dim", "ii", "iv", "iv_dim"))):
-                q, x = np.frombuffer(qv, np.float32).reshape(-1, qd), np.frombuffer(iv, np.float32).reshape(-1, d)
+                q, x = np.frombuffer(qv, np.float64).reshape(-1, qd), np.frombuffer(iv, np.float64).reshape(-1, d)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                 where = {v: j for j, v in enumerate(ii)}

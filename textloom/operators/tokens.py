@@ -18,6 +18,11 @@ def _is_array(df: DataFrame, column: str) -> bool:
     return dict(df.dtypes)[column].startswith("array")
 
 
+def _once(column: Column) -> Column:
+    """``column`` behind an expression that filters aren't pushed through: they would repeat the tokenization."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def _joined(df: DataFrame, step) -> DataFrame:
     """Apply a large stopword set or lemma map to __uni by a join, keeping the order of tokens."""
     spark = df.sparkSession
@@ -51,7 +56,7 @@ def tokenize(docs: DataFrame, cfg: TextConfig, text: str = "text", out: str = "t
         each = tokenize(fields, cfg, "__text", "__tokens", isnormalized)
         again = each.groupBy("__doc").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__field", "__tokens"))), lambda s: s["__tokens"])).alias(out))
         return row.join(again, "__doc").drop("__doc")
-    df = docs.withColumn("__norm", normalize_col(cfg.normalization, text, isnormalized)).withColumn("__uni", tk.split_tokens("__norm"))
+    df = docs.withColumn("__norm", normalize_col(cfg.normalization, text, isnormalized)).withColumn("__uni", _once(tk.split_tokens("__norm")))
     for s in steps(cfg.transformation):
         df = _joined(df, s) if s in big else df.withColumn("__uni", s.apply(F.col("__uni")))
     return df.withColumn(out, tk.assemble(cfg, F.col("__uni"), F.col("__norm"))).drop("__norm", "__uni")
@@ -71,7 +76,7 @@ def count_in_row(tokens: str) -> Column:
 
 def term_frequencies(tokens: DataFrame, column: str = "tokens", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, token, tf) of every distinct token of every row; null and empty arrays have none."""
-    ordered = tokens.where(F.size(column) > 0).select(*keys, F.array_sort(column).alias("__sorted"))
+    ordered = tokens.where(F.size(column) > 0).select(*keys, F.sort_array(column).alias("__sorted"))
     counted = ordered.select(*keys, F.explode(count_in_row("__sorted")).alias("__c"))
     return counted.select(*keys, "__c.token", "__c.tf")
 

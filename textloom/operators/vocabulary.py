@@ -74,7 +74,7 @@ def from_tokens(tokens: DataFrame, cfg: TextConfig, column: str = "tokens") -> V
     occurrences and documents are counted together.
     """
     prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("__sorted", 1, F.size("__sorted") - 1))
-    ordered = tokens.where(F.size(column) > 0).select(F.array_sort(column).alias("__sorted"))
+    ordered = tokens.where(F.size(column) > 0).select(F.sort_array(column).alias("__sorted"))
     flagged = ordered.select(F.explode(F.zip_with("__sorted", prev, lambda a, b: F.struct(a.alias("token"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("new")))).alias("t"))
     table = flagged.groupBy(F.col("t.token").alias("token")).agg(F.count(F.lit(1)).alias("occs"), F.sum("t.new").alias("ndocs"))
     stats = tokens.agg(F.count(F.lit(1)).alias("trainsize"), F.coalesce(F.sum(F.when(F.size(column) > 0, F.size(F.array_distinct(column)))), F.lit(0)).cast("long").alias("numtokens"))
