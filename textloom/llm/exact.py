@@ -174,14 +174,15 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     flagged = scratch.write(flagged.where("__head = 0 or __n > 1"), "flagged")
     small = flagged.count() <= BROADCAST_KEYS
     marks = F.broadcast(flagged) if small else flagged
-    key = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
-    marked = docs.withColumn("__k", key).join(marks, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
-    plain = marked.where(F.col("__id").isNull()).select(*[F.col(f"`{c}`") for c in cols])
+    # whole rows travel in one column: no name of theirs can clash
+    packed = docs.select(F.col("doc_id").alias("__at"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
+    marked = packed.join(marks, (F.col("__at") == F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
+    plain = marked.where(F.col("__id").isNull()).select("__row.*")
     if flagged.where("__head = 1").isEmpty():
         return plain
     # an id given several times with one text: few rows, and only they are shuffled
-    repeated = marked.where(F.col("__head") == 1).select(*[F.col(f"`{c}`") for c in cols]).dropDuplicates(["doc_id", "text"])
-    return plain.unionByName(repeated)
+    repeated = marked.where(F.col("__head") == 1).groupBy("__at", F.col("__row.text").alias("__text")).agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return plain.unionByName(repeated.select("__row.*"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,8 +89,10 @@ def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = No
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The chosen rows of ``docs`` in training order, with its columns (see ``positions``)."""
-    return positions(docs, **how).orderBy("__time", "doc_id", "__epoch").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The chosen rows of ``docs`` in training order, with its columns, whatever they are called (see ``positions``)."""
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    packed = docs.select("doc_id", "source", tokens.alias("__tok"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return positions(packed, **how).orderBy("__time", "doc_id", "__epoch").select("__row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
