@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -97,7 +96,7 @@ def lsi(model: VectorModel, docs: DataFrame, maxoutdim: int = 128, scaling: str
         s, p = svd.s.toArray(), svd.V.toArray()
     if scaling != "none":
         p = p * (np.where(s > 0, 1 / np.maximum(s, 1e-300), 0) if scaling == "inverse" else s)
-    table = spark.createDataFrame(pd.DataFrame({"i": np.arange(m), "emb": list(p)}), "i int, emb array<double>")
+    table = spark.createDataFrame(list(enumerate(p.tolist())), "i int, emb array<double>")
     return DenseModel(model, ids.join(table, "i").select("token", "emb"), p.shape[1], s)
 
 
@@ -133,8 +132,8 @@ def random_indexing(model: VectorModel, maxoutdim: int = 1024, method: str = "ga
         q, r = np.linalg.qr(np.stack(t["emb"])) if len(t) else (np.zeros((0, k)), np.zeros(0))
         if len(t) and len(t) < k:
             raise ValueError("qr needs at least as many tokens as dimensions")
-        t["emb"] = list(q * np.sign(np.diag(r)))
-        table = model.weights.sparkSession.createDataFrame(t, "token string, emb array<double>")
+        rows = list(zip(t["token"].tolist(), (q * np.sign(np.diag(r))).tolist())) if len(t) else []
+        table = model.weights.sparkSession.createDataFrame(rows, "token string, emb array<double>")
     return DenseModel(model, table, k)
 
 
