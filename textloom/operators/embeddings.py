@@ -75,6 +75,27 @@ def lsi(model: VectorModel, docs: DataFrame, maxoutdim: int = 128, scaling: str
     n = docs.count()
     k = min(maxoutdim, m, n)
     full = factorization == "full" or factorization == "auto" and min(m, n) <= FULL_SVD
+    if full and n < m:
+        # Gram matrix of documents; word vectors are the sums of their documents' right vectors
+        a = vec.select("doc_id", "i", "w")
+        pairs = a.join(a.select(F.col("doc_id").alias("other"), "i", F.col("w").alias("v")), "i").where("doc_id <= other").groupBy("doc_id", "other").agg(F.sum(F.col("w") * F.col("v")).alias("g"))
+        t = pairs.toArrow()
+        own = sorted(set(t.column("doc_id").to_pylist()))
+        at = {x: j for j, x in enumerate(own)}
+        g = np.zeros((len(own), len(own)))
+        i, j = (np.array([at[x] for x in t.column(c).to_pylist()], int) for c in ("doc_id", "other"))
+        g[i, j] = g[j, i] = t.column("g").to_numpy()
+        val, vecs = np.linalg.eigh(g)
+        order = np.argsort(-val)[:k]
+        s, v = np.sqrt(np.maximum(val[order], 0)), vecs[:, order]
+        v = v * np.where(s > 1e-9, 1 / np.maximum(s, 1e-300), 0)
+        if scaling != "none":
+            v = v * (np.where(s > 1e-9, 1 / np.maximum(s, 1e-300), 0) if scaling == "inverse" else s)
+        right = spark.createDataFrame(list(zip(own, v.tolist())), f"token {dict(docs.dtypes)['doc_id']}, emb array<double>")
+        named = vec.join(ids, "i").select(F.col("token").alias("name"), F.col("doc_id").alias("token"), "w")
+        words = DenseModel(model, right, len(s)).project(named, False, "name").withColumnRenamed("name", "token")
+        words = ids.select("token").join(words, "token", "left").select("token", F.coalesce("emb", F.array_repeat(F.lit(0.0), len(s))).alias("emb"))
+        return DenseModel(model, words, len(s), s)
     if full or k >= m:
         # Gram matrix of tokens, as sums of products within documents; its size is bounded by the switch
         a = vec.select("doc_id", "i", "w")

@@ -323,7 +323,7 @@ def _item_vectors(spark, d) -> DataFrame:
 _BVEC = _IDF + _Q + ", bvec AS (SELECT query_id, token, tf / max(tf) OVER (PARTITION BY query_id) * weight AS w FROM qt JOIN wt USING (token)), bn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM bvec WHERE w >= 1e-6 GROUP BY query_id), cos AS (SELECT a.query_id AS a, b.query_id AS b, sum(a.w * b.w) AS dot FROM bvec a JOIN bvec b USING (token) WHERE a.w >= 1e-6 AND b.w >= 1e-6 GROUP BY ALL), cs AS (SELECT a, b, dot / (x.n * y.n) AS c FROM cos JOIN bn x ON a = x.query_id JOIN bn y ON b = y.query_id)"
 
 
-@query(f"WITH {_BVEC} SELECT a, b, round(1 - c, 6) AS dist FROM cs")
+@query(f"WITH {_BVEC} SELECT a, b, abs(round(1 - c, 6)) AS dist FROM cs")
 def cosine_distances(spark, d):
     """Cosine distances between benchmark items that share a token."""
     v = _item_vectors(spark, d)
