@@ -31,8 +31,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order under the source curriculum."""
-    return mixing.mix(docs)
+    """All documents with a token, in training order under the source curriculum."""
+    return mixing.mix(docs, whole=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,6 +300,17 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": 300, "b": 280, None: 1}, {"hot": 2000, "b": 20, "c": 20}])
+def test_pipeline_mix_is_whole(spark, sizes):
+    import corpus_pipeline as cp
+
+    rows = [(1000 * k + i, "w " * 9 + "w", s) for k, (s, n) in enumerate(sizes.items(), 1) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in cp.mix_sources(spark, df, SF).collect()) == sorted(r[0] for r in rows)
+    placed = mixing.positions(df, whole=True).collect()
+    assert len(placed) == len(rows) and all(0 <= r["__time"] <= 1 for r in placed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

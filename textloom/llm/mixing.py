@@ -7,7 +7,11 @@ its source is trained at the time where that demand reaches c, which has a
 closed form on each linear piece.  Documents are then range-sorted by time.
 
 T is the largest total that gives every source its integral of the weight
-without using it more than ``max_epochs`` times.
+without using it more than ``max_epochs`` times; documents past it are left
+out, so the scarcest source bounds what is used of all others.  With ``whole``
+each source has a total of its own, supply over integral: every document of a
+source with weight is placed once, and sources keep the course of their weights
+over time but not its height, as no order of all documents can keep both.
 """
 
 from __future__ import annotations
@@ -58,8 +62,8 @@ def _time(u: Column, seg: Column) -> Column:
     return s["t0"] + F.when(c <= 0, 0.0).otherwise(2 * c / (s["w0"] + F.sqrt(F.greatest(s["w0"] * s["w0"] + 2 * s["slope"] * c, F.lit(0.0)))))
 
 
-def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = None, max_epochs: int = 1) -> DataFrame:
-    """``docs`` with __src, __tok, __epoch and __time, without those the budget leaves out.
+def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = None, max_epochs: int = 1, whole: bool = False) -> DataFrame:
+    """``docs`` with __src, __tok, __epoch and __time, without those the budget leaves out; ``whole`` leaves out none.
 
     ``docs`` needs doc_id, source and text, or the columns already derived from
     text in __tok; other columns ride along.  ``schedule`` maps a source to its
@@ -69,15 +73,22 @@ def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = No
     order of the MD5 of their id (null ids first), then id, then size; repeated
     rows follow each other.  An empty table gives an empty result.
     """
+    if whole and max_epochs != 1:
+        raise ValueError("whole places every document once")
     if "__tok" not in docs.columns:
         docs = docs.withColumn("__tok", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
     each = docs.where("__tok > 0").withColumn("__src", F.coalesce("source", F.lit("")))
     each = each.withColumn("__ord", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))).withColumn("__cut", F.substring("__ord", 1, DIGITS))
     supply = _supply(each)
     pieces = _pieces(supply, curriculum, schedule)
-    total = pieces.where("__all > 0").agg((F.min(F.col("__own") / F.col("__all")) * max_epochs).alias("__total"))
+    if whole:
+        placed = pieces.where("__all > 0").withColumn("__total", F.col("__own") / F.col("__all"))
+        plan = supply.join(placed, "__src")
+    else:
+        total = pieces.where("__all > 0").agg((F.min(F.col("__own") / F.col("__all")) * max_epochs).alias("__total"))
+        plan = supply.join(pieces, "__src").crossJoin(F.broadcast(total))  # one row is broadcast
     # a row per source and range joins the documents on the key they are already partitioned by
-    plan = supply.join(pieces, "__src").crossJoin(F.broadcast(total)).select("__src", "__cut", "__base", "__own", "__all", "__seg", "__total")  # one row is broadcast
+    plan = plan.select("__src", "__cut", "__base", "__own", "__all", "__seg", "__total")
     running = W.partitionBy("__src", "__cut").orderBy("__ord", "doc_id", "__tok").rowsBetween(W.unboundedPreceding, 0)
     before = each.withColumn("__before", F.sum("__tok").over(running) - F.col("__tok"))
     at = before.join(plan, ["__src", "__cut"])
