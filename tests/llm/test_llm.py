@@ -146,6 +146,28 @@ def test_licenses(spark, docs, odd, none):
         assert licenses.scan(df, licenses.fit(df)).count() == 0
 
 
+def test_licenses_inside_long_and_wrapped_paragraphs(docs):
+    texts = [t or "" for (t,) in docs.select("text").limit(150).collect()]
+    plain = [t for x in texts for t in x.split("\n")]
+    model = licenses.fit_lines(plain)
+    rng = np.random.default_rng(6)
+    filler = [w for t in plain if max(licenses.similarity(t, f) for f in license_texts.TEMPLATES) < 0.2 for w in t.split()]
+    every = [(f, t) for f, ts in license_texts.TEMPLATES.items() for t in ts]
+
+    def found(text):
+        data, off = tx.flat(pa.array([text], pa.string()))
+        return licenses.find(model, data, *licenses.lines(data, off))
+
+    for n in (15, 60, 120):
+        extra = [[str(w) for w in rng.choice(filler, n)] for _ in every]
+        hits = sum(any(h[:2] == (0, f) for h in found(" ".join([*e[: n // 2], *t.split(), *e[n // 2 :]]))) for (f, t), e in zip(every, extra))
+        assert hits >= 0.9 * len(every), (n, hits, len(every))
+        assert sum(len(found(" ".join(e))) for e in extra) == 0
+    long = [(f, t.split()) for f, t in every if len(t.split()) >= 12]
+    wrapped = ["\n".join(["some ordinary words here", "", *(" ".join(w[i : i + 5]) for i in range(0, len(w), 5)), "", "more of them"]) for _, w in long]
+    assert sum([h[:2] for h in found(x)] == [(2, f)] for (f, _), x in zip(long, wrapped)) >= 0.9 * len(long)
+
+
 def test_sentencepiece(spark, docs, odd, none):
     import sentencepiece
 

@@ -1,11 +1,15 @@
 """License scan: a trained paragraph classifier, confirmed against templates.
 
-A paragraph (line) is a bag of word 1-, 2- and 3-grams hashed into 2**BITS
-cells, scaled to unit length.  A softmax regression over the licence families
+Lines without a blank line between them are one paragraph.  Each line, and each
+of the overlapping word windows of a paragraph (of WINDOWS words, moved by half),
+is a bag of word 1-, 2- and 3-grams hashed into 2**BITS cells, scaled to unit
+length.  A softmax regression over the licence families
 and an unknown class is fitted to varied excerpts of templates and to ordinary
 lines; a temperature fitted on held-out examples calibrates its probabilities,
 and a threshold keeps ordinary held-out lines in the unknown class.  What it
-names must also share enough word pairs with a template of that family.
+names must also share enough word pairs with a template of that family; then its
+extent is fitted to the words that match, and of overlapping finds the one with
+most of them stays.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ BITS = 18
 MAX_FIT_ROWS = 400
 #: Least share of word pairs in common with a template.
 CONFIRM = 0.6
+#: Words a window.
+WINDOWS = (8, 12, 24, 48)
+#: Words around a find that its extent may take in, more than any template has.
+MARGIN = 80
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -38,19 +46,34 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every, np.arange(len(off) - 1) + inside
 
 
-def grams(data: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, cell) of all word n-grams in order of line, and n-grams a line."""
-    start, end, line = tx.tokens(data, every, tx.ALNUM)
-    n = len(every) - 1
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
-    h = tx.hashes(tx.FOLD[data], start, end)
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end) of each word, and the cells of the 1-, 2- and 3-grams that begin there."""
+    start, end, _ = tx.tokens(data, off, tx.ALNUM)
+    h = tx.hashes(tx.FOLD[data], start, end) if len(start) else np.zeros(0, np.uint64)
     two = tx.mix(h[:-1] * np.uint64(5) + h[1:])
     three = tx.mix(two[:-1] * np.uint64(7) + h[2:])
-    same, same3 = line[1:] == line[:-1], line[2:] == line[:-2]
-    cell = (np.concatenate([h, two[same], three[same3]]) >> np.uint64(64 - BITS)).astype(np.int64)
-    at = np.concatenate([line, line[:-1][same], line[:-2][same3]])
-    return at, cell, np.bincount(at, minlength=n)
+    return start, end, tuple((x >> np.uint64(64 - BITS)).astype(np.int64) for x in (h, two, three))
+
+
+def spread(cells: tuple, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, cell) of all n-grams that lie in one group; ``group`` ascends by word."""
+    one, two, three = cells
+    same, same3 = group[1:] == group[:-1], group[2:] == group[:-2]
+    return np.concatenate([group, group[:-1][same], group[:-2][same3]]), np.concatenate([one, two[same], three[same3]])
+
+
+def grams(data: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, cell) of all word n-grams in order of line, and n-grams a line."""
+    start, _, cells = words(data, every)
+    at, cell = spread(cells, np.searchsorted(every, start, "right") - 1)
+    return at, cell, np.bincount(at, minlength=len(every) - 1)
+
+
+def paragraphs(line: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First word of the paragraph of each word, by the lines of the words and the first line of each text."""
+    text = np.searchsorted(first, line, "right")
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(line) > 1) | (np.diff(text) > 0)])) if len(line) else np.zeros(0, np.int64)
+    return np.repeat(begin, np.diff(np.append(begin, len(line))))
 
 
 @dataclass
@@ -64,11 +87,10 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.5
 
-    def probabilities(self, data: np.ndarray, every: np.ndarray) -> np.ndarray:
-        """Calibrated class probabilities of each line, the unknown class last."""
-        at, cell, count = grams(data, every)
-        n, c = len(count), len(self.bias)
-        slot = self.slot[cell]
+    def probabilities(self, slots: tuple, group: np.ndarray, n: int) -> np.ndarray:
+        """Calibrated class probabilities of each of ``n`` groups of words, the unknown class last."""
+        at, slot = spread(slots, group)
+        count, c = np.bincount(at, minlength=n), len(self.bias)
         used = slot > 0
         at, slot = at[used], slot[used]
         z = np.zeros((n, c))
@@ -107,6 +129,62 @@ def similarity(text: str, family: str) -> float:
     return best
 
 
+def extent(own: list[str], lo: int, hi: int, family: str) -> tuple[int, int, int]:
+    """(first, past last, score): the stretch of ``own`` that best matches a template and meets words lo to hi.
+
+    Word pairs of the template score 1 and others -1.
+    """
+    out = (lo, hi, 0)
+    for t in _PAIRS[family]:
+        run = np.concatenate([[0], np.cumsum([1 if p in t else -1 for p in zip(own, own[1:])])]).astype(int)
+        inner = run[lo:hi]
+        b = lo + int(np.argmax(inner - np.minimum.accumulate(inner)))
+        a = b - int(np.argmin(run[lo : b + 1][::-1]))
+        b += int(np.argmax(run[b:]))
+        a -= int(np.argmin(run[: a + 1][::-1]))
+        if run[b] - run[a] > out[2]:
+            out = (a, b + 1, int(run[b] - run[a]))
+    return out
+
+
+def find(model: Model, data: np.ndarray, every: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float, float]]:
+    """(line where it begins, family, probability, similarity) of the licence notices of texts cut into lines."""
+    start, end, cells = words(data, every)
+    if not len(start):
+        return []
+    line = np.searchsorted(every, start, "right") - 1
+    begin = paragraphs(line, first)
+    rank = np.arange(len(start)) - begin
+    slots = tuple(model.slot[c] for c in cells)
+    heads = [np.concatenate([[True], line[1:] != line[:-1]])]
+    heads += [(rank == 0) | (rank % size == shift) for size in WINDOWS for shift in (0, size // 2)]
+    found, seen = [], set()
+    for head in heads:
+        at = np.flatnonzero(head)
+        past = np.append(at[1:], len(start))
+        p = model.probabilities(slots, np.cumsum(head) - 1, len(at))
+        best = p[:, :-1].argmax(1)
+        top = p[np.arange(len(p)), best]
+        for i in np.flatnonzero(top >= model.threshold):
+            lo, hi, f = int(at[i]), int(past[i]), model.families[best[i]]
+            if (lo, hi) in seen:
+                continue
+            seen.add((lo, hi))
+            if similarity(data[start[lo] : end[hi - 1]].tobytes().decode("utf-8", "replace"), f) < CONFIRM:
+                continue
+            a, b = max(int(begin[lo]), lo - MARGIN), min(hi + MARGIN, len(start))
+            b = a + int(np.searchsorted(begin[a:b], begin[lo], "right"))
+            own = ["".join(_WORD.findall(data[start[w] : end[w]].tobytes().decode("utf-8", "replace").lower())) for w in range(a, b)]
+            x, y, score = extent(own, lo - a, hi - a, f)
+            found.append((-score, -round(float(top[i]), 6), a + x, a + y, f, round(similarity(" ".join(own[x:y]), f), 6)))
+    taken, out = np.zeros(len(start), bool), {}
+    for _, p, a, b, f, s in sorted(found):
+        if not taken[a:b].any():
+            taken[a:b] = True
+            out.setdefault((int(line[a]), f), (-p, s))
+    return sorted((*k, *v) for k, v in out.items())
+
+
 def _examples(ordinary: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     families = list(TEMPLATES)
     texts, y = [], []
@@ -116,14 +194,15 @@ def _examples(ordinary: list[str], rng: np.random.Generator) -> tuple[list[str],
             w = t.split()
             for k in range(24):
                 own = list(w)
-                if k % 3 == 1 and len(own) > 8:  # an excerpt
-                    n = int(rng.integers(len(own) * 6 // 10, len(own) + 1))
+                if k % 3 == 1 and len(own) > 8:  # an excerpt, every other time a short one
+                    n = int(rng.integers(len(own) * 6 // 10, len(own) + 1)) if k % 2 else int(rng.integers(6, len(own) + 1))
                     a = int(rng.integers(0, len(own) - n + 1))
                     own = own[a : a + n]
                 if k % 3 == 2:  # surroundings
-                    n = int(rng.integers(1, 7))
+                    n = int(rng.integers(1, 7 if k % 2 else max(8, len(own) + 1)))  # every other time as much as a window may have
                     extra = [filler[i] for i in rng.integers(0, len(filler), n)]
-                    own = extra + own if rng.random() < 0.5 else own + extra
+                    cut = int(rng.integers(0, n + 1)) if k % 2 == 0 else n if rng.random() < 0.5 else 0
+                    own = extra[:cut] + own + extra[cut:]
                 if k % 4 == 3 and len(own) > 12:  # a slip
                     own[int(rng.integers(len(own)))] = filler[int(rng.integers(len(filler)))]
                 texts.append(" ".join(own) if k % 5 else " ".join(own).upper())
@@ -205,10 +284,11 @@ def fit(docs: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Licence paragraphs of all of ``docs``.
 
-    Returns doc_id, paragraph (line number from 0), family, probability and
-    similarity (rounded to 6 digits), one row per confirmed line.  Null and
-    empty texts have none; a null id stays null; repeated rows are reported
-    once each; a very long line is one paragraph.  Other columns are not read.
+    Returns doc_id, paragraph (number from 0 of the line where the notice
+    begins), family, probability and similarity (rounded to 6 digits), one row
+    per line and family.  Notices may lie inside a longer line or run over
+    several.  Null and empty texts have none; a null id stays null; repeated
+    rows are reported once each.  Other columns are not read.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)  # some MB, set by the templates and the sample bound
 
@@ -221,18 +301,13 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi in tx.pieces(off):
                 part = data[off[lo] : off[hi]]
                 every, first = lines(part, off[lo : hi + 1] - off[lo])
-                p = m.probabilities(part, every)
-                best = p[:, :-1].argmax(1)
-                for i in np.flatnonzero(p[np.arange(len(p)), best] >= m.threshold):
-                    f = m.families[best[i]]
-                    s = similarity(part[every[i] : every[i + 1]].tobytes().decode("utf-8", "replace"), f)
-                    if s >= CONFIRM:
-                        d = int(np.searchsorted(first, i, "right")) - 1
-                        take.append(lo + d)
-                        number.append(i - first[d])
-                        family.append(f)
-                        prob.append(round(float(p[i, best[i]]), 6))
-                        sim.append(round(s, 6))
+                for i, f, p, s in find(m, part, every, first):
+                    d = int(np.searchsorted(first, i, "right")) - 1
+                    take.append(lo + d)
+                    number.append(i - first[d])
+                    family.append(f)
+                    prob.append(p)
+                    sim.append(s)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), pa.array(number, pa.int32()), pa.array(family, pa.string()), pa.array(prob, pa.float64()), pa.array(sim, pa.float64())], ["doc_id", "paragraph", "family", "probability", "similarity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, paragraph int, family string, probability double, similarity double")
