@@ -166,3 +166,18 @@ def test_sources_and_stream(spark, tmp_path):
     incremental.start(stream, incremental.vocabulary_sink(str(tmp_path / "out"), TextConfig()), str(tmp_path / "ck"), once=True).awaitTermination()
     voc = incremental.read_vocabulary(spark, str(tmp_path / "out"), TextConfig())
     assert voc.trainsize == 7 and voc.get("la")["ndocs"] == 7
+
+
+def test_synonyms_and_lemma_clusters_read_the_corpus(spark, tmp_path, monkeypatch):
+    from textloom.plans import queries
+
+    topics = [["comet", "orbit", "planet"], ["flour", "oven", "yeast"], ["anchor", "harbor", "sail"], ["violin", "cello", "chord"]]
+    texts = [" ".join(topics[i % 4]) for i in range(40)]
+    corpus(spark, texts).selectExpr("cast(doc_id as long) doc_id", "text", "'en' lang", "'web' source", "cast(length(text) as long) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    near = {(r["token"], r["neighbor"]) for r in queries.QUERIES["synonyms"](spark, str(tmp_path)).where("rank <= 2").collect()}
+    assert near == {(a, b) for t in topics for a in t for b in t if a != b}
+    given = []
+    monkeypatch.setattr(queries.lemmas, "lemma_clusters", lambda voc, words: given.append(words) or voc)
+    queries.QUERIES["lemma_clusters"](spark, str(tmp_path))
+    v = {r["token"]: r["emb"] for r in em.unit_rows(given[0]).collect()}
+    assert sum(a * b for a, b in zip(v["comet"], v["orbit"])) > 0.99

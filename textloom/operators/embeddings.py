@@ -121,17 +121,9 @@ def lsi(model: VectorModel, docs: DataFrame, maxoutdim: int = 128, scaling: str
     return DenseModel(model, ids.join(table, "i").select("token", "emb"), p.shape[1], s)
 
 
-def random_indexing(model: VectorModel, maxoutdim: int = 1024, method: str = "gaussian", seed: int = 0) -> DenseModel:
-    """A random projection a token, drawn from the hash of the token and the seed.
-
-    "gaussian" entries have variance 1/k; "ternary" (or "sparse_random") has
-    about sqrt(k) entries of +-1/sqrt(s); "qr" makes the columns orthonormal
-    and is decomposed on the driver, so it needs a small vocabulary.
-    """
-    k = maxoutdim
-    if method not in ("gaussian", "qr", "ternary", "sparse_random"):
-        raise ValueError(f"unknown method {method!r}")
-    tokens = model.weights.select("token", F.xxhash64("token", F.lit(seed)).alias("h"))
+def _random_rows(keys: DataFrame, k: int, method: str, seed: int) -> DataFrame:
+    """(token, emb): a random vector a distinct ``token``, drawn from its hash and the seed."""
+    tokens = keys.select("token", F.xxhash64("token", F.lit(seed)).alias("h"))
 
     def draw(batches):
         for b in batches:
@@ -147,7 +139,33 @@ def random_indexing(model: VectorModel, maxoutdim: int = 1024, method: str = "ga
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(rows, pa.list_(pa.float64()))], ["token", "emb"])
 
-    table = tokens.mapInArrow(draw, "token string, emb array<double>")
+    return tokens.mapInArrow(draw, "token string, emb array<double>")
+
+
+def document_indexing(model: VectorModel, docs: DataFrame, maxoutdim: int = 1024, method: str = "gaussian", seed: int = 0, text: str = "text", **how) -> DenseModel:
+    """Random vectors of the documents, summed over the documents of each token by its weight there.
+
+    Tokens of the same documents get near vectors; those without a weighted
+    occurrence get zeros.
+    """
+    named = vectorize(model, docs, text, **how).where(F.col("doc_id").isNotNull()).select(F.col("token").alias("name"), F.col("doc_id").cast("string").alias("token"), "w")
+    own = _random_rows(docs.select(F.col("doc_id").cast("string").alias("token")).where("token is not null").distinct(), maxoutdim, method, seed)
+    words = DenseModel(model, own, maxoutdim).project(named, False, "name").withColumnRenamed("name", "token")
+    words = model.weights.select("token").join(words, "token", "left").select("token", F.coalesce("emb", F.array_repeat(F.lit(0.0), maxoutdim)).alias("emb"))
+    return DenseModel(model, words, maxoutdim)
+
+
+def random_indexing(model: VectorModel, maxoutdim: int = 1024, method: str = "gaussian", seed: int = 0) -> DenseModel:
+    """A random projection a token, drawn from the hash of the token and the seed.
+
+    "gaussian" entries have variance 1/k; "ternary" (or "sparse_random") has
+    about sqrt(k) entries of +-1/sqrt(s); "qr" makes the columns orthonormal
+    and is decomposed on the driver, so it needs a small vocabulary.
+    """
+    k = maxoutdim
+    if method not in ("gaussian", "qr", "ternary", "sparse_random"):
+        raise ValueError(f"unknown method {method!r}")
+    table = _random_rows(model.weights, k, method, seed)
     if method == "qr":
         t = table.orderBy("token").toPandas()
         q, r = np.linalg.qr(np.stack(t["emb"])) if len(t) else (np.zeros((0, k)), np.zeros(0))
@@ -260,4 +278,4 @@ def synonyms(wordvectors: DataFrame, k: int = 8, approx: bool | None = None) ->
     return found.select(F.col("query_id").alias("token"), "rank", F.col("id").alias("neighbor"), F.col("dist").alias("distance"))
 
 
-__all__ = ["DenseModel", "bit_sketch", "external", "hamming", "lsi", "nearest", "nearest_approx", "quantize", "quantize_global", "random_indexing", "synonyms", "unit", "unit_rows", "vectorize_bags"]
+__all__ = ["DenseModel", "bit_sketch", "document_indexing", "external", "hamming", "lsi", "nearest", "nearest_approx", "quantize", "quantize_global", "random_indexing", "synonyms", "unit", "unit_rows", "vectorize_bags"]

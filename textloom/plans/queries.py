@@ -500,8 +500,8 @@ def random_indexing(spark, d):
 
 @query()
 def synonyms(spark, d):
-    """Eight nearest tokens of every token by random-indexing word vectors of neighbouring documents."""
-    words = em.random_indexing(_small_model(spark, d), 64).wordvectors()
+    """Eight nearest tokens of every token by word vectors that sum random vectors of their documents."""
+    words = em.document_indexing(_small_model(spark, d), docs_of(spark, d), 64).wordvectors()
     return em.synonyms(words, 8, approx=False)
 
 
@@ -509,7 +509,7 @@ def synonyms(spark, d):
 def lemma_clusters(spark, d):
     """Lemmas by surface, split by word vectors."""
     m = _small_model(spark, d)
-    return lemmas.lemma_clusters(m.voc.table, em.random_indexing(m, 32).wordvectors())
+    return lemmas.lemma_clusters(m.voc.table, em.document_indexing(m, docs_of(spark, d), 32).wordvectors())
 
 
 @query()
