@@ -15,6 +15,7 @@ most of them stays.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ BITS = 18
 MAX_FIT_ROWS = 400
 #: Least share of word pairs in common with a template.
 CONFIRM = 0.6
+#: Rarity of word pairs that an excerpt is taken to have at least.
+LEAST = 3.0
 #: Words a window.
 WINDOWS = (8, 12, 24, 48)
 #: Words around a find that its extent may take in, more than any template has.
@@ -112,20 +115,27 @@ def pairs(text: str) -> set[tuple[str, str]]:
 
 
 _PAIRS = {f: [pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+_FAMILIES = Counter(p for ts in _PAIRS.values() for p in set().union(*ts))
+
+
+def rarity(some: set[tuple[str, str]]) -> float:
+    """Weight of word pairs: each counts one over the number of families whose templates have it."""
+    return sum(1 / _FAMILIES.get(p, 1) for p in some)
 
 
 def similarity(text: str, family: str) -> float:
-    """Greatest share of word pairs in common with a template of the family.
+    """Greatest share of word pairs in common with a template of the family, pairs weighted by rarity.
 
     The share is of the paragraph's pairs (an excerpt) or of the template's (a
-    notice inside a longer paragraph), whichever is greater; under two pairs in
-    common count as none.
+    notice inside a longer paragraph), whichever is less, but of no less than
+    LEAST where the template has that much: a few common words confirm nothing.
     """
     p, best = pairs(text), 0.0
+    own = rarity(p)
     for t in _PAIRS[family]:
-        k = len(p & t)
-        if k >= 2:
-            best = max(best, k / min(len(p), len(t)))
+        shared, whole = p & t, rarity(t)
+        if len(shared) >= 2:
+            best = max(best, rarity(shared) / max(min(own, whole), min(whole, LEAST)))
     return best
 
 
@@ -188,7 +198,7 @@ def find(model: Model, data: np.ndarray, every: np.ndarray, first: np.ndarray) -
 def _examples(ordinary: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     families = list(TEMPLATES)
     texts, y = [], []
-    filler = [w for t in ordinary[:400] for w in t.split()][:4000] or ["x"]
+    filler = [w for t in ordinary for w in t.split()] or ["x"]
     for f, ts in enumerate(TEMPLATES.values()):
         for t in ts:
             w = t.split()
@@ -287,8 +297,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     Returns doc_id, paragraph (number from 0 of the line where the notice
     begins), family, probability and similarity (rounded to 6 digits), one row
     per line and family.  Notices may lie inside a longer line or run over
-    several.  Null and empty texts have none; a null id stays null; repeated
-    rows are reported once each.  Other columns are not read.
+    several.  Of finds that overlap the one that matches most words stays, of
+    equal ones the more probable, then the earlier, then the family first in
+    the alphabet.  Null and empty texts have none, very long ones are read
+    whole; a null id stays null; repeated rows are reported once each; an
+    empty table gives none.  Other columns are not read.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)  # some MB, set by the templates and the sample bound
 
