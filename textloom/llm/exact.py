@@ -3,9 +3,12 @@
 Keys are 64-bit hashes of the texts.  The key space is cut into equal ranges;
 the owner task of a range keeps its own directory, doubles it whenever a bucket
 of full local depth overflows, and writes its buckets as rows of a Parquet
-dataset.  Equal keys sit in one bucket as a chain.  Only texts on chains of two
-or more are then read again, and they are compared byte by byte with the head
-of their chain; what differs from the head forms the next chain.
+dataset.  Equal keys are one entry of a bucket with the length of its chain and
+the least id on it, counted before they are shuffled, so a text that very many
+rows share is one entry.  Only texts on chains of two or more are then read
+again, and they are compared byte by byte with the head of their chain; what
+differs from the head forms the next chain.  ``lookup`` finds the chains of
+further texts through a stored index.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ BUCKET = 64
 #: Keys of chained texts that are sent to all executors rather than shuffled to.
 BROADCAST_KEYS = 2_000_000
 
-INDEX_SCHEMA = "owner long, global_depth int, local_depth int, prefix long, key long, n_bytes long, ids array<long>"
+INDEX_SCHEMA = "owner long, owner_bits int, global_depth int, local_depth int, prefix long, key long, n_bytes long, n long, head long"
 
 
 class Directory:
@@ -72,6 +75,30 @@ class Directory:
             if s == at and p >> shift & 1:
                 self.slots[p] = other
 
+    def find(self, key: int) -> list:
+        """Chain of ``key``, empty if there is none: one slot, one bucket."""
+        return self.buckets[self.slots[self.slot(key)]].get(key, [])
+
+    @classmethod
+    def of(cls, skip: int, depth: int, entries) -> Directory:
+        """The directory of stored (local depth, prefix, key, value)."""
+        d = cls(skip)
+        d.depth, d.buckets, d.local, d.slots = depth, [], [], [-1] * (1 << depth)
+        at: dict[tuple[int, int], int] = {}
+        for local, prefix, key, value in entries:
+            b = at.get((local, prefix))
+            if b is None:
+                b = at[local, prefix] = len(d.buckets)
+                d.buckets.append({})
+                d.local.append(local)
+                lo = prefix << (depth - local)
+                d.slots[lo : lo + (1 << depth - local)] = [b] * (1 << depth - local)
+            d.buckets[b][key] = [value]
+        d.buckets.append({})  # for slots of buckets that hold nothing
+        d.local.append(depth)
+        d.slots = [s if s >= 0 else len(d.buckets) - 1 for s in d.slots]
+        return d
+
     def rows(self):
         """(local depth, prefix, key, chain) of every entry."""
         first = {}
@@ -84,44 +111,66 @@ class Directory:
 
 
 def build_index(docs: DataFrame, keys_per_owner: int = 1 << 16) -> DataFrame:
-    """Index rows (INDEX_SCHEMA) of all non-null texts of ``docs`` (doc_id, text) that have an id."""
+    """Index rows (INDEX_SCHEMA) of all non-null texts of ``docs`` (doc_id, text) that have an id: one a distinct key."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     n = docs.count()
     bits = max(4, int(np.ceil(np.log2(max(1, n) / keys_per_owner))) if n else 4)
     keys = rows.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"))
-    keys = keys.withColumn("owner", F.shiftrightunsigned("key", 64 - bits))
+    entries = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"), F.min("n_bytes").alias("n_bytes"))
+    entries = entries.withColumn("owner", F.shiftrightunsigned("key", 64 - bits))
 
     def own(batch: pa.Table) -> pa.Table:
         owner = batch.column("owner")[0].as_py()
         # the order of arrival differs from run to run; this one doesn't
-        batch = batch.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        batch = batch.sort_by("key")
         d = Directory(bits)
         key = batch.column("key").to_numpy().view(np.uint64).tolist()
-        for k, value in zip(key, zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist())):
+        for k, value in zip(key, zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "n", "head")))):
             d.insert(k, value)
-        local, prefix, ks, size, ids = [], [], [], [], []
-        for lo, p, k, chain in d.rows():
-            local.append(lo)
-            prefix.append(p)
-            ks.append(k)
-            size.append(chain[0][1])
-            ids.append([c[0] for c in chain])
-        m = len(ks)
+        rows = [(lo, p, k, *chain[0]) for lo, p, k, chain in d.rows()]
+        local, prefix, ks, size, n, head = zip(*rows)
+        m = len(rows)
         return pa.table({
-            "owner": pa.array([owner] * m, pa.int64()), "global_depth": pa.array([d.depth] * m, pa.int32()),
-            "local_depth": pa.array(local, pa.int32()), "prefix": pa.array(prefix, pa.int64()),
-            "key": pa.array(np.array(ks, np.uint64).view(np.int64)), "n_bytes": pa.array(size, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())),
+            "owner": pa.array([owner] * m, pa.int64()), "owner_bits": pa.array([bits] * m, pa.int32()), "global_depth": pa.array([d.depth] * m, pa.int32()), "local_depth": pa.array(local, pa.int32()),
+            "prefix": pa.array(prefix, pa.int64()), "key": pa.array(np.array(ks, np.uint64).view(np.int64)), "n_bytes": pa.array(size, pa.int64()), "n": pa.array(n, pa.int64()), "head": pa.array(head, pa.int64()),
         })
 
-    return keys.groupBy("owner").applyInArrow(own, INDEX_SCHEMA)
+    return entries.groupBy("owner").applyInArrow(own, INDEX_SCHEMA)
+
 
+def lookup(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, key, head, n) of the texts of ``docs`` whose key a stored index holds.
 
-def _chained(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    Owner tasks read the buckets of their key range and probe slot and bucket
+    for every key that falls into it; keys are looked up once each.  Equal keys
+    are candidates: bytes remain to be compared.  Rows with a null id or text
+    are not looked up.
+    """
+    first = index.select("owner_bits").first()
+    bits = first["owner_bits"] if first else 4
+    keys = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"))
+    asked = keys.select("key").distinct().withColumn("owner", F.shiftrightunsigned("key", 64 - bits))
+
+    def probe(own: pa.Table, ask: pa.Table) -> pa.Table:
+        found = []
+        if own.num_rows and ask.num_rows:
+            at = own.column("key").to_numpy().view(np.uint64).tolist()
+            values = zip(own.column("head").to_pylist(), own.column("n").to_pylist())
+            d = Directory.of(bits, own.column("global_depth")[0].as_py(), zip(own.column("local_depth").to_pylist(), own.column("prefix").to_pylist(), at, values))
+            key = ask.column("key").to_numpy()
+            found = [(k, *v) for k, u in zip(key.tolist(), key.view(np.uint64).tolist()) for v in d.find(u)]
+        cols = list(zip(*found)) if found else [()] * 3
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("key", "head", "n"), cols)})
+
+    met = index.groupBy("owner").cogroup(asked.groupBy("owner")).applyInArrow(probe, "key long, head long, n long")
+    return keys.join(met, "key").select("doc_id", "key", "head", "n")
+
+
+def _chained(docs: DataFrame, scratch: Scratch, broadcast_keys: int) -> DataFrame:
     """(doc_id, key, keep_id) of every row on a chain of two or more, after comparing bytes; keep_id heads its group."""
     index = scratch.write(build_index(docs), "index")
-    chains = index.where(F.size("ids") > 1).select("key", F.array_min("ids").alias("head"))
-    chains = scratch.write(chains, "chains")
-    few = chains.count() <= BROADCAST_KEYS  # 16 bytes each
+    chains = scratch.write(index.where("n > 1").select("key", "head"), "chains")
+    few = chains.count() <= broadcast_keys  # 16 bytes each
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("key"))
     members = texts.join(F.broadcast(chains) if few else chains, "key")
     settled, step = [], 0
@@ -137,13 +186,14 @@ def _chained(docs: DataFrame, scratch: Scratch) -> DataFrame:
         heads_next = rest.groupBy("key").agg(F.min("doc_id").alias("head"))
         members = rest.drop("head", "same").join(heads_next, "key")
         step += 1
+    scratch.drop("chains")
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
     return out
 
 
-def duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Surplus copies: doc_id, keep_id, surplus_rows.
 
     One row per id and group of byte-identical texts in which rows of that id
@@ -153,26 +203,28 @@ def duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     compared and never surplus; empty texts are texts and equal each other.
     Columns other than doc_id and text are not read.  An empty table gives none.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "exact")
-    groups = _chained(docs.select("doc_id", "text"), scratch).groupBy("doc_id", "key", "step", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(docs.sparkSession, "exact")
+    groups = _chained(docs.select("doc_id", "text"), scratch, broadcast_keys).groupBy("doc_id", "key", "step", "keep_id").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.col("doc_id") == F.col("keep_id"), 1).otherwise(0)
     return groups.select("doc_id", "keep_id", (F.col("n") - own).alias("surplus_rows")).where("surplus_rows > 0")
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with one row of each group of byte-identical texts, all columns kept.
 
     The row of the least id stays (of that id's identical texts one row, the
-    first by its other columns).  Rows with a null id or text all stay.
+    first by its other columns).  Rows with a null id or text all stay, empty
+    texts equal each other, texts are compared whole, however long, and an
+    empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     cols = docs.columns
-    chained = _chained(docs.select("doc_id", "text"), scratch)
+    chained = _chained(docs.select("doc_id", "text"), scratch, broadcast_keys)
     flagged = chained.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(
         F.max(F.when(F.col("doc_id") == F.col("keep_id"), 1).otherwise(0)).alias("__head"), F.count(F.lit(1)).alias("__n")
     )
     flagged = scratch.write(flagged.where("__head = 0 or __n > 1"), "flagged")
-    small = flagged.count() <= BROADCAST_KEYS
+    small = flagged.count() <= broadcast_keys
     marks = F.broadcast(flagged) if small else flagged
     # whole rows travel in one column: no name of theirs can clash
     packed = docs.select(F.col("doc_id").alias("__at"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
