@@ -1,7 +1,9 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-A text's fingerprint is 64 signed sums over its distinct words, a second one of
-64 bits (other hash bits) confirms pairs.  Two fingerprints within ``RADIUS``
+A text's fingerprint is 64 signed sums over its distinct words; a sketch of its
+three-word shingles (the least shingle of each of BINS bins, one byte each) goes
+along and confirms pairs by their share of equal bins, so texts that only use
+the same words stay apart.  Two fingerprints within ``RADIUS``
 bits agree on at least ``AGREE`` of ``BLOCKS`` bit blocks, whichever they are;
 each choice of agreeing blocks is an upper node of the index, a masked pattern
 that all fingerprints below share, and tells which task holds them.  Below it
@@ -22,27 +24,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text as tx
-from textloom.llm._shared import Scratch
+from textloom.llm._shared import Scratch, partitions
 
 RADIUS = 10
 BLOCKS = 12
 AGREE = 2
-#: Largest distance of the confirming fingerprints.
-CONFIRM = 16
+#: Bins of the shingle sketch, and the least share of bins (of those either text fills) that near copies have in common.
+BINS = 24
+SHARE = 0.25
+#: Rows of the index a task.
+ROWS = 1_500_000
 FANOUT = 8
+#: Ids of dropped documents that are sent to all executors (16 MB) rather than shuffled to.
+BROADCAST_IDS = 2_000_000
 
 assert BLOCKS - RADIUS >= AGREE
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, has words) of each text: sign sums over distinct folded words."""
+    """(fingerprint, sketch, has words) of each text: sign sums over distinct folded words, and bins of shingles."""
     n = len(offsets) - 1
     start, end, doc = tx.tokens(data, offsets, tx.ALNUM)
-    out = np.zeros((n, 128), np.int32)
+    out = np.zeros((n, 64), np.int32)
     has = np.zeros(n, bool)
+    bins = np.zeros((n, BINS), np.uint8)
     if len(start):
         h = tx.hashes(tx.FOLD[data], start, end)
+        bins = sketches(h, doc, n)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
@@ -50,7 +59,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         h, doc = h[new], doc[new]
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         last = np.append(first[1:], len(doc))
-        wide = np.stack([h, tx.mix(h + np.uint64(0x9E3779B97F4A7C15))], 1).view(np.uint8)
+        wide = h[:, None].view(np.uint8)
         # texts of many words are summed in slices
         for a in range(0, len(first), 64):
             lo, hi = first[a], last[min(a + 64, len(first)) - 1]
@@ -60,8 +69,33 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         count[doc[first]] = last - first
         has = count > 0
         out = 2 * out > count[:, None]
-    packed = np.packbits(out > 0, axis=1, bitorder="little").view(np.uint64)
-    return packed[:, 0], packed[:, 1], has
+    return np.packbits(out > 0, axis=1, bitorder="little").view(np.uint64)[:, 0], bins, has
+
+
+def sketches(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """One byte a bin and text: of the least shingle in it, 0 where there is none.  ``doc`` ascends by word.
+
+    A shingle is three words, or all words of a text that has fewer.
+    """
+    many = np.bincount(doc, minlength=n)
+    three = doc[2:] == doc[:-2]
+    shingle, own = tx.windows(h, 3)[three], doc[:-2][three]
+    begin = np.cumsum(many) - many
+    for k in (1, 2):
+        few = np.flatnonzero(many == k)
+        x = h[begin[few]] if k == 1 else tx.mix(h[begin[few]] * np.uint64(3) + h[begin[few] + 1])
+        shingle, own = np.concatenate([shingle, x]), np.concatenate([own, few])
+    place = own * BINS + ((shingle >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    least = np.full(n * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    value = tx.mix(shingle + np.uint64(0x5EED)) >> np.uint64(1)
+    np.minimum.at(least, place, value)
+    return np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(n, BINS)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches in the rows of ``x`` and ``y`` share enough of their filled bins."""
+    same = ((x == y) & (x > 0)).sum(1)
+    return same >= SHARE * ((x | y) > 0).sum(1)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -170,26 +204,31 @@ def near_pairs(f: np.ndarray, group: np.ndarray, radius: int = RADIUS, budget: i
                 yield x[near], y[near]
 
 
+_SKETCH = [f"s{i}" for i in range(BINS // 8)]
+_PRINT = ", ".join(f"{c} long" for c in ("a", *_SKETCH))
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): both fingerprints of every text with an id and a word."""
+    """(doc_id, a, s0, ...): fingerprint and sketch of every text with an id and a word."""
 
     def run(batches):
         for batch in batches:
             data, off = tx.flat(batch.column("text"))
             n = len(off) - 1
-            a, b, has = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
+            a, s, has = np.zeros(n, np.uint64), np.zeros((n, BINS), np.uint8), np.zeros(n, bool)
             for lo, hi in tx.pieces(off):
-                a[lo:hi], b[lo:hi], has[lo:hi] = fingerprints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "a", "b"]).filter(pa.array(has))
+                a[lo:hi], s[lo:hi], has[lo:hi] = fingerprints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            words = np.ascontiguousarray(s).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a.view(np.int64)), *(pa.array(words[:, i]) for i in range(len(_SKETCH)))], ["doc_id", "a", *_SKETCH]).filter(pa.array(has))
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "doc_id long, a long, b long")
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, f"doc_id long, {_PRINT}")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int = AGREE, confirm: int = CONFIRM) -> DataFrame:
-    """(src, dst) edges that connect the same groups as all near pairs of ``nodes`` (rep, a, b).
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int = AGREE) -> DataFrame:
+    """(src, dst) edges that connect the same groups as all near pairs of ``nodes`` (rep, a, s0, ...).
 
     Each task replaces its pairs by a spanning forest, so a group of n costs n
-    rows a task, not n squared.
+    rows a task, not n squared.  The number of tasks follows the rows.
     """
     masks = upper_masks(blocks, agree)
 
@@ -212,13 +251,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: i
         node = t.column("node").to_numpy()
         rep = t.column("rep").to_numpy()
         a = t.column("a").to_numpy().view(np.uint64)
-        b = t.column("b").to_numpy().view(np.uint64)
         order = np.lexsort((rep, gray_rank(a), node))
-        node, rep, a, b = node[order], rep[order], a[order], b[order]
+        node, rep, a = node[order], rep[order], a[order]
+        sketch = np.stack([t.column(c).to_numpy()[order] for c in _SKETCH], 1).view(np.uint8)
         ids, local = np.unique(rep, return_inverse=True)
         forest = Forest(len(ids))
         for x, y in near_pairs(a, node, radius):
-            good = np.bitwise_count(b[x] ^ b[y]) <= confirm
+            # a pair whose ends are connected already needs no look at its texts
+            apart = forest.root(local[x]) != forest.root(local[y])
+            x, y = x[apart], y[apart]
+            good = alike(sketch[x], sketch[y])
             forest.join(local[x[good]], local[y[good]])
         every = np.arange(len(ids))
         root = forest.root(every)
@@ -227,8 +269,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: i
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
 
     assert comb(blocks, agree) == len(masks) and blocks - radius >= agree
-    spread = nodes.select("rep", "a", "b").mapInArrow(scatter, "node long, rep long, a long, b long")
-    return spread.repartition("node").mapInArrow(search, "src long, dst long").distinct()
+    spread = nodes.select("rep", "a", *_SKETCH).mapInArrow(scatter, f"node long, rep long, {_PRINT}")
+    tasks = partitions(nodes.sparkSession, nodes.count() * len(masks), ROWS)
+    return spread.repartition(tasks, "node").mapInArrow(search, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -246,6 +289,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, "src").select(F.explode(F.array("dst", "src")).alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         step += 1
         now = scratch.write(small, f"edges{step}")
+        scratch.drop(f"edges{step - 1}")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
@@ -255,28 +299,35 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Near copies: doc_id, keep_id, one row per document that is not kept.
 
-    Documents whose fingerprints differ in at most RADIUS bits (and the
-    confirming ones in at most CONFIRM) are linked; ``keep_id`` is the least id
-    of the connected group.  Ids are documents: rows that share an id are one
-    document, linked through each of its texts.  Rows with a null id or text,
-    and texts without a word, belong to no group.  Other columns are not read.
+    Documents whose fingerprints differ in at most RADIUS bits and whose
+    shingle sketches share at least SHARE of their filled bins are linked;
+    ``keep_id`` is the least id of the connected group.  Ids are documents:
+    rows that share an id are one document, linked through each of its texts.
+    Rows with a null id or text, and texts without a word, belong to no group;
+    texts are read whole, however long.  An empty table gives none.  Other
+    columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     each = scratch.write(prints(docs), "prints")
-    nodes = scratch.write(each.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = scratch.write(each.groupBy("a", *_SKETCH).agg(F.min("doc_id").alias("rep")), "nodes")
     near = links(nodes)
-    copies = each.join(nodes, ["a", "b"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    copies = each.join(nodes, ["a", *_SKETCH]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     members = components(near.unionByName(copies), scratch)
+    scratch.drop("prints", "nodes")
     return members.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``groups`` doesn't keep, all columns and rows otherwise as given."""
+def drop_near(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the documents that ``groups`` doesn't keep, all columns and rows otherwise as given.
+
+    Rows with a null id or text, and texts without a word, stay; so do all rows
+    of a kept id.  An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    gone = scratch.write(groups(docs, scratch).select("doc_id"), "gone")
-    # 8 bytes an id: sent to all up to 16 MB, else joined by shuffle
-    few = gone.count() <= 2_000_000
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = scratch.write(groups(docs, scratch).select(F.col("doc_id").alias("__gone")), "gone")
+    few = gone.count() <= broadcast_ids
+    row = docs.select(F.col("doc_id").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return row.join(F.broadcast(gone) if few else gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
