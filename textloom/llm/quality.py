@@ -155,8 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
 
     The ``max_rows`` labelled ids of smallest hash are taken (the same at
     every run).  Ids with a null id or label are left out; an id labelled more
-    than once counts as bad if any label says so; null texts are left out and
-    repeated ids are used once per row.
+    than once counts as bad if any label says so; null texts and texts without
+    any indicator are left out, very long ones are used whole, and repeated ids
+    are used once per row.  Without labelled texts of both kinds the model
+    accepts all (rejects all if only bad ones are known).
     """
     named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # ties in the hash are broken by the id, so the sample is a function of the table
@@ -190,7 +192,8 @@ def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFram
 
     Returns doc_id, score, quality (1 keep, 0 reject), one row per input row;
     with ``keep_columns`` the rows of ``docs`` that the model keeps instead.
-    Null, empty and wordless texts have a null score and quality 0.  Extra
+    Null, empty and wordless texts have a null score and quality 0; a score
+    equal to the threshold keeps; an empty table gives none.  Extra
     columns pass through untouched under ``keep_columns`` and are never read
     otherwise; repeated rows are scored alike.
     """
