@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.llm._shared import Scratch
+
 #: (t, exponent): at t, sources weigh as their share of tokens to this power.
 CURRICULUM = ((0.0, 1.0), (1.0, 0.5))
 WORD = "[^ \\t\\r\\n]+"
@@ -62,23 +64,34 @@ def _time(u: Column, seg: Column) -> Column:
     return s["t0"] + F.when(c <= 0, 0.0).otherwise(2 * c / (s["w0"] + F.sqrt(F.greatest(s["w0"] * s["w0"] + 2 * s["slope"] * c, F.lit(0.0)))))
 
 
-def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = None, max_epochs: int = 1, whole: bool = False) -> DataFrame:
-    """``docs`` with __src, __tok, __epoch and __time, without those the budget leaves out; ``whole`` leaves out none.
+def tokens_of(text: str = "text") -> Column:
+    """Number of words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0))
+
 
-    ``docs`` needs doc_id, source and text, or the columns already derived from
-    text in __tok; other columns ride along.  ``schedule`` maps a source to its
-    (t, weight) knots, the same times for all; sources it doesn't name are left
-    out.  A null source counts as the source ''.  Null, empty and blank texts
-    hold no tokens and take no position.  Within a source documents come in the
-    order of the MD5 of their id (null ids first), then id, then size; repeated
-    rows follow each other.  An empty table gives an empty result.
+def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = None, max_epochs: int = 1, whole: bool = False, tokens: str | None = None) -> DataFrame:
+    """(doc_id, source, row, tokens, epoch, time) without what the budget leaves out; ``whole`` leaves out none.
+
+    ``docs`` needs doc_id, source and text, or the name of an integer column
+    with the number of tokens in ``tokens`` (null counts as 0); ``row`` is the
+    input row as a struct, whatever its columns are called.  ``schedule`` maps
+    a source to its (t, weight) knots, the same times for all; sources it
+    doesn't name, or whose weights are all 0, are left out.  A null source
+    counts as the source ''.  Null, empty and blank texts hold no tokens and
+    take no position; a text is counted whole, however long.  Within a source
+    documents come in the order of the MD5 of their id (null ids first), then
+    id, then size; repeated rows follow each other.  An empty table gives an
+    empty result.  ``max_epochs`` of 1 or more repeats a source up to as often.
     """
+    if max_epochs < 1:
+        raise ValueError("max_epochs must be at least 1")
     if whole and max_epochs != 1:
         raise ValueError("whole places every document once")
-    if "__tok" not in docs.columns:
-        docs = docs.withColumn("__tok", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    each = docs.where("__tok > 0").withColumn("__src", F.coalesce("source", F.lit("")))
-    each = each.withColumn("__ord", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))).withColumn("__cut", F.substring("__ord", 1, DIGITS))
+    # whole rows travel in one column: none of their names can clash with the ones used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    count = tokens_of() if tokens is None else F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0))
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("__src"), count.alias("__tok"), row)
+    each = own.where("__tok > 0").withColumn("__ord", F.coalesce(F.md5(F.col("id").cast("string")), F.lit(""))).withColumn("__cut", F.substring("__ord", 1, DIGITS))
     supply = _supply(each)
     pieces = _pieces(supply, curriculum, schedule)
     if whole:
@@ -89,29 +102,39 @@ def positions(docs: DataFrame, curriculum=CURRICULUM, schedule: dict | None = No
         plan = supply.join(pieces, "__src").crossJoin(F.broadcast(total))  # one row is broadcast
     # a row per source and range joins the documents on the key they are already partitioned by
     plan = plan.select("__src", "__cut", "__base", "__own", "__all", "__seg", "__total")
-    running = W.partitionBy("__src", "__cut").orderBy("__ord", "doc_id", "__tok").rowsBetween(W.unboundedPreceding, 0)
+    running = W.partitionBy("__src", "__cut").orderBy("__ord", "id", "__tok").rowsBetween(W.unboundedPreceding, 0)
     before = each.withColumn("__before", F.sum("__tok").over(running) - F.col("__tok"))
     at = before.join(plan, ["__src", "__cut"])
     at = at.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))) if max_epochs > 1 else F.lit(0))
     at = at.withColumn("__u", (F.col("__base") + F.col("__before") + F.col("__epoch") * F.col("__own")) / F.col("__total"))
     at = at.where(F.col("__u") < F.element_at(F.col("__seg"), -1)["a1"])
     at = at.withColumn("__time", F.round(_time(F.col("__u"), F.col("__seg")), 9))
-    return at.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__tok"], "__src", "__tok", "__epoch", "__time")
+    return at.select(F.col("id").alias("doc_id"), F.col("__src").alias("source"), "row", F.col("__tok").alias("tokens"), F.col("__epoch").alias("epoch"), F.col("__time").alias("time"))
+
+
+def counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A stored table of doc_id, source and tokens: each text is read and counted once."""
+    return scratch.write(docs.select("doc_id", "source", tokens_of().cast("long").alias("tokens")), "counted")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The chosen rows of ``docs`` in training order, with its columns, whatever they are called (see ``positions``)."""
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    packed = docs.select("doc_id", "source", tokens.alias("__tok"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return positions(packed, **how).orderBy("__time", "doc_id", "__epoch").select("__row.*")
+    """The chosen rows of ``docs`` in training order, with its columns, whatever they are called (see ``positions``).
+
+    Rows of one time follow their ids, then their epochs.  Written as files,
+    the rows keep this order from file to file and within each.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    # the count goes along with the row, so that only this pass reads words out of texts
+    packed = docs.select("doc_id", "source", tokens_of().alias("tokens"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    stored = scratch.write(packed, "counted")
+    return positions(stored, tokens="tokens", **how).orderBy("time", "doc_id", "epoch").select("row.own.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """Training order of all documents: doc_id, source, tokens, epoch, time."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("__tok"))
-    out = positions(slim).select("doc_id", F.col("__src").alias("source"), F.col("__tok").cast("long").alias("tokens"), F.col("__epoch").alias("epoch"), F.col("__time").alias("time"))
-    return out.orderBy("time", "doc_id")
+    docs = counted(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "mixing"))
+    out = positions(docs, tokens="tokens")
+    return out.select("doc_id", "source", F.col("tokens").cast("long"), "epoch", "time").orderBy("time", "doc_id")
 
 
 SQL = r"""
