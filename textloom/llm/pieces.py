@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words a worker remembers; beyond it those that didn't recur are forgotten (speed only).
 REMEMBER = 600_000
-_PAIRS = 2_000_000
+_PAIRS = 500_000
 
 
 class Codec:
@@ -469,7 +469,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ())
         for batch in batches:
             column = batch.column("text")
             data, off = tx.flat(column)
-            for lo, hi in tx.pieces(off, 4 << 20):
+            for lo, hi in tx.pieces(off, tx.PIECE * 7 // 8):  # with a blank a text still within one piece
                 part = column.slice(lo, hi - lo)
                 ids, at = enc.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 null = part.is_null().to_numpy(zero_copy_only=False)
