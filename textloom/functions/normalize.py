@@ -58,7 +58,7 @@ def normalize_col(cfg: NormalizationConfig, col: Column | str, isnormalized: boo
         if cfg.group_num:
             out = F.regexp_replace(out, cfg.re_num, "0 ")
         out = _full_unicode(cfg)(out) if cfg.unicode == "full" else _fast_unicode(cfg, out)
-        out = F.regexp_replace(out, r"[\s\x{85}\p{Zs}]", " ")
+        out = F.regexp_replace(out, r"[\s\x{85}\p{Zs}&&[^ ]]", " ")
         out = F.regexp_replace(out, r"\p{Cc}", "")
         if cfg.del_punc:
             out = F.regexp_replace(out, r"[\p{P}&&[^@#_]]", " ")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.weighting import VectorModel, unit, vectorize, vectorize_bags
+from textloom.config import TextConfig
+from textloom.operators.vocabulary import Terms, vocabulary
+from textloom.operators.weighting import VectorModel, vector_model, vectorize, vectorize_terms
 
 #: Up to this smaller dimension the Gram matrix is decomposed on the driver.
 FULL_SVD = 3072
@@ -31,12 +33,20 @@ class DenseModel:
 
     def project(self, vec: DataFrame, normalize: bool = True, key: str = "doc_id") -> DataFrame:
         """(key, emb) of sparse vectors (key, token, w); keys without known tokens are absent."""
-        hit = vec.join(self.rows, "token")
-        terms = hit.select(key, F.posexplode(F.transform("emb", lambda x: x * F.col("w"))).alias("i", "x"))
-        sums = terms.groupBy(key, "i").agg(F.sum("x").alias("x"))
-        out = sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("emb"))
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        # whole vectors are summed, partially before the shuffle: a row a document and task, not one a component
+        hit = vec.join(self.rows, "token").select(key, array_to_vector(F.transform("emb", lambda x: x * F.col("w"))).alias("__v"))
+        out = hit.groupBy(key).agg(Summarizer.sum(F.col("__v")).alias("__v")).select(key, vector_to_array("__v").alias("emb"))
         return unit_rows(out) if normalize else out
 
+    def vectorize_terms(self, terms: Terms, docs: DataFrame, normalize: bool = True) -> DataFrame:
+        """(doc_id, emb) of documents (doc_id) whose terms are stored."""
+        dense = self.project(vectorize_terms(self.model, terms), normalize)
+        zero = F.array_repeat(F.lit(0.0), self.dim)
+        return docs.select("doc_id").join(dense, "doc_id", "left").select("doc_id", F.coalesce("emb", zero).alias("emb"))
+
     def vectorize(self, docs: DataFrame, text: str = "text", normalize: bool = True, **how) -> DataFrame:
         """(doc_id, emb) of all documents; those without a known token get zeros."""
         vec = vectorize(self.model, docs, text, **how)
@@ -121,8 +131,34 @@ def lsi(model: VectorModel, docs: DataFrame, maxoutdim: int = 128, scaling: str
     return DenseModel(model, ids.join(table, "i").select("token", "emb"), p.shape[1], s)
 
 
+def lsi_of_corpus(cfg: TextConfig, docs: DataFrame, maxoutdim: int = 128, global_weighting: str = "idf", local_weighting: str = "tf", text: str = "text", **how) -> DenseModel:
+    """``lsi`` of a corpus under a config: vocabulary and weights are those of the documents."""
+    return lsi(vector_model(vocabulary(docs, cfg, text), global_weighting, local_weighting), docs, maxoutdim, text=text, **how)
+
+
+def _ternary_rows(keys: DataFrame, k: int, seed: int) -> DataFrame:
+    """(token, emb) with s = max(2, round(sqrt(k))) entries of +-1/sqrt(s), one in each of s nearly equal runs of components.
+
+    Place and sign of an entry come from the MD5 of seed, entry and token, so
+    any engine can draw them again.
+    """
+    s = min(k, max(2, round(k**0.5)))
+    digest = lambda j: F.md5(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), F.col("token")))
+    number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+
+    def block(j):
+        lo, hi = F.floor(j * k / s), F.floor((j + 1) * k / s)
+        at, zero = (number(digest(j)) % (hi - lo)).cast("int"), F.lit(0.0)
+        sign = F.when(F.conv(F.substring(digest(j), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0) / s**0.5
+        return F.concat(F.array_repeat(zero, at), F.array(sign), F.array_repeat(zero, (hi - lo - 1).cast("int") - at))
+
+    return keys.select("token", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(s - 1)), block)).alias("emb"))
+
+
 def _random_rows(keys: DataFrame, k: int, method: str, seed: int) -> DataFrame:
     """(token, emb): a random vector a distinct ``token``, drawn from its hash and the seed."""
+    if method in ("ternary", "sparse_random"):
+        return _ternary_rows(keys, k, seed)
     tokens = keys.select("token", F.xxhash64("token", F.lit(seed)).alias("h"))
 
     def draw(batches):
@@ -130,13 +166,7 @@ def _random_rows(keys: DataFrame, k: int, method: str, seed: int) -> DataFrame:
             rows = []
             for h in b.column("h").to_pylist():
                 rng = np.random.default_rng(h & (1 << 63) - 1)
-                if method in ("ternary", "sparse_random"):
-                    s = max(2, round(k**0.5))
-                    row = np.zeros(k)
-                    row[rng.choice(k, min(s, k), replace=False)] = rng.choice([-1.0, 1.0], min(s, k)) / s**0.5
-                else:
-                    row = rng.standard_normal(k) / k**0.5
-                rows.append(row)
+                rows.append(rng.standard_normal(k) / k**0.5)
             yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(rows, pa.list_(pa.float64()))], ["token", "emb"])
 
     return tokens.mapInArrow(draw, "token string, emb array<double>")
@@ -159,7 +189,8 @@ def random_indexing(model: VectorModel, maxoutdim: int = 1024, method: str = "ga
     """A random projection a token, drawn from the hash of the token and the seed.
 
     "gaussian" entries have variance 1/k; "ternary" (or "sparse_random") has
-    about sqrt(k) entries of +-1/sqrt(s); "qr" makes the columns orthonormal
+    s = max(2, round(sqrt(k))) entries of +-1/sqrt(s), one in each run of k / s
+    components; "qr" makes the columns orthonormal
     and is decomposed on the driver, so it needs a small vocabulary.
     """
     k = maxoutdim
@@ -206,7 +237,7 @@ def quantize(dense: DataFrame, column: str = "emb", key: str = "doc_id") -> Data
 def quantize_global(dense: DataFrame, column: str = "emb", key: str = "doc_id", minmax: tuple[float, float] | None = None, quant: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """(key, codes): 256 levels between two bounds for all vectors, given or taken as quantiles of all components."""
     if minmax is None:
-        q = dense.select(F.explode(column).alias("x")).agg(F.percentile_approx("x", list(quant), 10_000).alias("q")).first()["q"]
+        q = dense.select(F.explode(column).alias("x")).agg(F.percentile_approx("x", list(quant), 100_000).alias("q")).first()["q"]
         minmax = (float(q[0]), float(q[1])) if q else (0.0, 1.0)
     lo, hi = minmax
     step = (hi - lo) / 255 if hi > lo else 1.0
@@ -258,14 +289,19 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, column: str = "emb", k
     return found.withColumn("dist", F.round("dist", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
 
-def nearest_approx(items: DataFrame, k: int, column: str = "emb", key: str = "id", tables: int = 6, width: float = 0.5, seed: int = 7) -> DataFrame:
-    """As ``nearest`` of a table with itself, over bucketed random projections of unit vectors: some neighbours are missed."""
+def nearest_approx(items: DataFrame, k: int, column: str = "emb", key: str = "id", tables: int = 6, width: float = 0.5, seed: int = 7, queries: DataFrame | None = None, reach: float = 2.0) -> DataFrame:
+    """As ``nearest`` of ``queries`` (all items by default) in ``items``, over bucketed random projections of unit vectors.
+
+    Some neighbours are missed, and so are those farther than ``reach``, a
+    distance of unit vectors (2 is the largest).
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     vecs = unit_rows(items, column).select(F.col(key).alias("id"), array_to_vector(column).alias("features"))
     fitted = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(vecs)
-    pairs = fitted.approxSimilarityJoin(vecs, vecs, 2.0, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d") / 2).alias("dist")).where("query_id <> id")
+    asked = vecs if queries is None else unit_rows(queries, column).select(F.col(key).alias("id"), array_to_vector(column).alias("features"))
+    pairs = fitted.approxSimilarityJoin(asked, vecs, reach, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d") / 2).alias("dist")).where("query_id <> id")
     w = W.partitionBy("query_id").orderBy("dist", "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
@@ -276,6 +312,3 @@ def synonyms(wordvectors: DataFrame, k: int = 8, approx: bool | None = None) ->
         approx = wordvectors.count() > EXACT_SYNONYMS
     found = nearest_approx(wordvectors, k, key="token") if approx else nearest(wordvectors, wordvectors, k, key="token")
     return found.select(F.col("query_id").alias("token"), "rank", F.col("id").alias("neighbor"), F.col("dist").alias("distance"))
-
-
-__all__ = ["DenseModel", "bit_sketch", "document_indexing", "external", "hamming", "lsi", "nearest", "nearest_approx", "quantize", "quantize_global", "random_indexing", "synonyms", "unit", "unit_rows", "vectorize_bags"]

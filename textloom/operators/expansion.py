@@ -38,6 +38,13 @@ def expand_bags(bags: DataFrame, voc: Vocabulary, synonyms: DataFrame, key: str
     return bags.select(key, "token", "tf").unionByName(more.select(key, "token", F.lit(1).cast("long").alias("tf")))
 
 
+def expand_tokens(tokens: DataFrame, synonyms: DataFrame, k: int = 0, key: str = "query_id") -> DataFrame:
+    """(key, token) of the first ``k`` neighbours (0: all) of the tokens of each key, without its own tokens."""
+    near = synonyms.where(F.col("rank") <= k) if k else synonyms
+    more = tokens.join(near.select("token", "neighbor"), "token").select(key, F.col("neighbor").alias("token")).distinct()
+    return more.join(tokens.select(key, "token").distinct(), [key, "token"], "left_anti")
+
+
 def neighbours(synonyms: DataFrame, tokens: list[str], k: int = 0) -> list[str]:
     """The first ``k`` neighbours (0: all) of some tokens, without those tokens."""
     found = synonyms.where(F.col("token").isin(tokens))

@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators import expansion
-from textloom.operators.vocabulary import Vocabulary, bag_of_words, keep_known
-from textloom.operators.weighting import VectorModel, unit, vectorize, vectorize_bags
+from textloom.config import TextConfig
+from textloom.operators.vocabulary import Terms, Vocabulary, bag_of_words, keep_known, vocabulary
+from textloom.operators.weighting import VectorModel, unit, vector_model, vectorize, vectorize_bags, vectorize_terms
 
 log = logging.getLogger(__name__)
 
@@ -68,6 +69,8 @@ class BM25Index:
     delta: float = 1.0
     synonyms: DataFrame | None = None
     events: list = field(default_factory=list, compare=False)
+    #: Drop the postings of other tokens before the join; for indexes much larger than what queries touch.
+    prune: bool = False
 
     def append(self, docs: DataFrame, text: str = "text", **how) -> BM25Index:
         """Index documents (doc_id, text) in one pass."""
@@ -81,6 +84,22 @@ class BM25Index:
         log.info("add: documents appended")
         return replace(self, postings=own if self.postings is None else self.postings.unionByName(own))
 
+    def append_terms(self, terms: Terms) -> BM25Index:
+        """Index stored terms; those of the vocabulary's own documents need neither a join nor a sum."""
+        if self.voc.terms is not terms:
+            return self.append_bags(terms.bags.select("doc_id", "token", "tf"))
+        self.events.append("add")
+        log.info("add: documents appended")
+        own = terms.bags.select("doc_id", "token", "tf", "doclen")
+        return replace(self, postings=own if self.postings is None else self.postings.unionByName(own))
+
+    def push(self, text: str, doc_id=None, minimum: float = 0, **how) -> BM25Index:
+        """Index one document; its id is the number of indexed documents plus one unless given."""
+        spark = self.voc.table.sparkSession
+        kind = dict(self.postings.dtypes)["doc_id"] if self.postings is not None else "long"
+        one = spark.createDataFrame([(len(self) + 1 if doc_id is None else doc_id, text)], f"doc_id {kind}, text string")
+        return self.append_bags(bag_of_words(self.voc, one, **how), minimum)
+
     def catch_up(self, stored: DataFrame) -> BM25Index:
         """Index the stored bags of documents after the last indexed one; nothing to do gives the same index."""
         last = self.postings.agg(F.max("doc_id")).first()[0] if self.postings is not None else None
@@ -105,7 +124,7 @@ class BM25Index:
         """(query_id, doc_id, score) of documents with at least ``t`` of the query's tokens."""
         s = scorer(self.k1, self.b, self.delta)
         known = query_tokens.join(self.voc.with_stats().select("token", "ndocs", "trainsize", "numtokens"), "token")
-        hits = self.postings.join(known, "token")
+        hits = self.select_postings(known).join(known, "token") if self.prune else self.postings.join(known, "token")
         each = hits.select("query_id", "doc_id", s.token_score(F.col("ndocs"), F.col("doclen"), F.col("tf")).alias("s"))
         out = each.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("hits"))
         return out.where(F.col("hits") >= t).select("query_id", "doc_id", "score")
@@ -161,6 +180,13 @@ class TextIndex:
     def append(self, docs: DataFrame, text: str = "text", **how) -> TextIndex:
         return self.append_vectors(self._encode(docs, text, **how))
 
+    def append_terms(self, terms: Terms) -> TextIndex:
+        """Index stored terms."""
+        if not is_set_distance(self.dist):
+            return self.append_vectors(vectorize_terms(self.model, terms))
+        own = terms.bags if self.model.voc.terms is terms else keep_known(terms.bags, self.model.voc)
+        return self.append_vectors(own.select("doc_id", "token", F.lit(1.0).alias("w")))
+
     def append_vectors(self, vec: DataFrame) -> TextIndex:
         """Append encoded items (doc_id, token, w)."""
         vec = vec.select("doc_id", "token", "w")
@@ -185,6 +211,16 @@ class TextIndex:
         return top_k(hits.withColumn("dist", F.round("dist", digits)), k, F.asc("dist")).select("query_id", "rank", "doc_id", "dist")
 
 
+def index_of_vocabulary(voc: Vocabulary, global_weighting: str = "idf", local_weighting: str = "tf", **how) -> TextIndex:
+    """An empty index over a model of the vocabulary."""
+    return TextIndex(vector_model(voc, global_weighting, local_weighting), **how)
+
+
+def index_of_corpus(cfg: TextConfig, docs: DataFrame, global_weighting: str = "idf", local_weighting: str = "tf", text: str = "text", **how) -> TextIndex:
+    """An empty index over a model of the documents' vocabulary; the documents themselves are not indexed."""
+    return index_of_vocabulary(vocabulary(docs, cfg, text), global_weighting, local_weighting, **how)
+
+
 def intersect(postings: list[DataFrame], column: str = "id") -> DataFrame:
     """Ids in all lists."""
     out = postings[0].select(column)

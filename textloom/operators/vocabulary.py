@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.config import TextConfig
-from textloom.operators.tokens import term_frequencies, tokenize
+from textloom.operators.tokens import count_in_row, term_frequencies, tokenize
+from textloom.scratch import Scratch
 
 VOCAB = "token string, occs long, ndocs long"
 STATS = "trainsize long, numtokens long"
@@ -27,6 +28,8 @@ class Vocabulary:
     table: DataFrame
     stats: DataFrame
     cfg: TextConfig
+    #: Stored terms of which this is the whole vocabulary, if known: nothing of theirs is unknown to it.
+    terms: object = None
 
     @property
     def trainsize(self) -> int:
@@ -57,14 +60,33 @@ class Vocabulary:
     def with_ids(self) -> DataFrame:
         """The table with token_id from 1, most frequent first, ties by token.
 
-        Only dense matrices need ids; the order is global, so keep the
-        vocabulary pruned.
+        Tokens of one frequency are ranked among themselves and follow the
+        number of those before, so no task holds the whole vocabulary; only the
+        tokens of one frequency meet, in parts by their first characters.
         """
-        return self.table.withColumn("token_id", F.row_number().over(W.orderBy(F.desc("occs"), "token")))
+        own = self.table.withColumn("__part", F.substring("token", 1, 2))
+        sizes = own.groupBy("occs", "__part").agg(F.count(F.lit(1)).alias("__n"))
+        # few rows: the distinct frequencies times the distinct beginnings
+        before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy(F.desc("occs"), "__part")) - F.col("__n")).drop("__n")
+        ranked = own.withColumn("__rank", F.row_number().over(W.partitionBy("occs", "__part").orderBy("token")))
+        return ranked.join(before, ["occs", "__part"]).withColumn("token_id", (F.col("__before") + F.col("__rank")).cast("int")).select(*self.table.columns, "token_id")
+
+    def select(self, tokens: list[str] | DataFrame) -> DataFrame:
+        """Rows of a list of tokens, or of the ``token`` column of a bag or any other table; unknown ones give none."""
+        if isinstance(tokens, DataFrame):
+            return self.table.join(tokens.select("token").distinct(), "token", "left_semi")
+        return self.table.where(F.col("token").isin(list(tokens)))
+
+    def select_ids(self, ids: list[int] | DataFrame, column: str = "token_id") -> DataFrame:
+        """Rows, with token_id, of a list of ids or of a column of ids, such as that of a search result."""
+        every = self.with_ids()
+        if isinstance(ids, DataFrame):
+            return every.join(ids.select(F.col(column).alias("token_id")).distinct(), "token_id", "left_semi")
+        return every.where(F.col("token_id").isin(list(ids)))
 
     def filter(self, predicate: Column | str) -> Vocabulary:
         """Tokens that satisfy a predicate over token, occs, ndocs; the statistics stay those of the whole."""
-        return replace(self, table=self.table.where(predicate))
+        return replace(self, table=self.table.where(predicate), terms=None)
 
 
 def from_tokens(tokens: DataFrame, cfg: TextConfig, column: str = "tokens") -> Vocabulary:
@@ -91,6 +113,40 @@ def vocabulary(docs: DataFrame, cfg: TextConfig, text: str = "text", min_ndocs:
     return voc
 
 
+@dataclass(frozen=True)
+class Terms:
+    """Documents tokenized once: ``bags`` (doc_id, token, tf, doclen) as a stored table, and their number.
+
+    doclen is the sum of tf over the tokens of the row, whether a vocabulary
+    knows them or not.  Everything that is counted or
+    weighted over a corpus derives from this table.
+    """
+
+    bags: DataFrame
+    size: int
+    cfg: TextConfig
+
+    def vocabulary(self, min_ndocs: int = 1) -> Vocabulary:
+        """Vocabulary of the documents, without tokens of fewer than ``min_ndocs``."""
+        table = self.bags.groupBy("token").agg(F.sum("tf").alias("occs"), F.count(F.lit(1)).alias("ndocs"))
+        stats = self.bags.sparkSession.createDataFrame([(self.size, self.bags.count())], STATS)  # the count is in the files' footers
+        voc = Vocabulary(table, stats, self.cfg, self)
+        if min_ndocs > 1:
+            voc = voc.filter(F.col("ndocs") >= min_ndocs)
+            if voc.table.isEmpty():
+                raise ValueError(f"no token occurs in {min_ndocs} documents")
+        return voc
+
+
+def terms(docs: DataFrame, cfg: TextConfig, text: str = "text", key: str = "doc_id", **how) -> Terms:
+    """Tokenize documents (key and a text column) and store their bags in the shared folder."""
+    rows = tokenize(docs.select(key, text), cfg, text, **how).where(F.size("tokens") > 0)
+    ordered = rows.select(F.col(key).alias("doc_id"), F.sort_array("tokens").alias("__sorted"), F.size("tokens").cast("long").alias("doclen"))
+    counted = ordered.select("doc_id", "doclen", F.explode(count_in_row("__sorted")).alias("__c"))
+    stored = Scratch(docs.sparkSession, "terms").write(counted.select("doc_id", "__c.token", "__c.tf", "doclen"), "bags")
+    return Terms(stored, docs.count(), cfg)
+
+
 def empty(spark: SparkSession, cfg: TextConfig, trainsize: int = 0, numtokens: int = 0) -> Vocabulary:
     """A vocabulary without tokens."""
     return Vocabulary(spark.createDataFrame([], VOCAB), spark.createDataFrame([(trainsize, numtokens)], STATS), cfg)
@@ -110,14 +166,14 @@ def _sum(tables: list[DataFrame]) -> DataFrame:
 
 def push_tokens(voc: Vocabulary, rows: DataFrame) -> Vocabulary:
     """Add counters (token, occs, ndocs); the statistics stay."""
-    return replace(voc, table=_sum([voc.table, rows]))
+    return replace(voc, table=_sum([voc.table, rows]), terms=None)
 
 
 def append(voc: Vocabulary, docs: DataFrame, text: str = "text", **how) -> Vocabulary:
     """Add the tokens of more documents; numtokens grows, trainsize is left to the caller."""
     own = vocabulary(docs, voc.cfg, text, **how)
     stats = voc.stats.crossJoin(F.broadcast(own.stats.select(F.col("numtokens").alias("__n")))).select("trainsize", (F.col("numtokens") + F.col("__n")).alias("numtokens"))
-    return replace(voc, table=_sum([voc.table, own.table]), stats=stats)
+    return replace(voc, table=_sum([voc.table, own.table]), stats=stats, terms=None)
 
 
 def update(voc: Vocabulary, other: Vocabulary, predicate: Column | str | None = None) -> Vocabulary:

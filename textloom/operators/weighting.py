@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.vocabulary import Vocabulary, bag_of_words
+from textloom.operators.vocabulary import Terms, Vocabulary, bag_of_words
 
 LOCAL = ("tf", "freq", "tp", "binary")
 GLOBAL = ("idf", "binary", "entropy")
@@ -34,13 +34,15 @@ class VectorModel:
 
     def filter(self, predicate: Column | str) -> VectorModel:
         """Tokens that satisfy a predicate over token, occs, ndocs, weight."""
-        return replace(self, weights=self.weights.where(predicate))
+        return replace(self, voc=replace(self.voc, terms=None), weights=self.weights.where(predicate))
 
 
 def vector_model(voc: Vocabulary, global_weighting: str = "idf", local_weighting: str = "tf", weights: DataFrame | None = None) -> VectorModel:
     """Weights of a vocabulary, computed or given as (token, weight)."""
     if local_weighting not in LOCAL or global_weighting not in GLOBAL:
         raise ValueError(f"unknown weighting {global_weighting}/{local_weighting}")
+    if voc.terms is None and voc.table.isEmpty() or voc.terms is not None and voc.terms.bags.isEmpty():
+        raise ValueError("the vocabulary is empty")
     if weights is not None:
         table = voc.table.join(weights, "token")
     elif global_weighting == "entropy":
@@ -70,26 +72,40 @@ def entropy_weights(voc: Vocabulary, docs: DataFrame, label: str, mindocs: int =
     or None, or a map from class to weight.  Tokens of fewer than ``mindocs``
     documents weigh 0.
     """
-    bags = bag_of_words(voc, docs.where(F.col(label).isNotNull()), text).join(docs.select("doc_id", F.col(label).alias("__class")), "doc_id")
-    classes = docs.where(F.col(label).isNotNull()).select(F.col(label).alias("__class")).distinct()
-    seen = bags.groupBy("token", "__class").agg(F.count(F.lit(1)).alias("__n"))
-    grid = voc.table.select("token", "ndocs").crossJoin(F.broadcast(classes))  # one row a class
-    counts = grid.join(seen, ["token", "__class"], "left").withColumn("__d", F.coalesce("__n", F.lit(0)) + F.lit(float(smooth)))
+    own = docs.where(F.col(label).isNotNull())
+    bags = bag_of_words(voc, own, text).join(own.select("doc_id", F.col(label).alias("__class")), "doc_id")
+    return entropy_of_counts(voc, bags.groupBy("token", "__class").agg(F.count(F.lit(1)).alias("__n")), own.select(F.col(label).alias("__class")).distinct(), mindocs, smooth, weights, comb)
+
+
+def entropy_of_counts(voc: Vocabulary, seen: DataFrame, classes: DataFrame, mindocs: int = 3, smooth: float = 3.0, weights="balance", comb: str = "normalized") -> DataFrame:
+    """The same from (token, __class, __n) with the documents of each class that hold a token.
+
+    A class in which a token doesn't occur adds the same to every token, so
+    only the counts that are there are touched, never tokens times classes.
+    """
+    smooth = float(smooth)
+    f = lambda d: F.when(d > 0, d * F.log2(d)).otherwise(0.0)
     if weights == "balance":
-        total = counts.groupBy("__class").agg(F.sum("__d").alias("__row"))
-        scale = total.withColumn("__cw", F.sum("__row").over(W.partitionBy()) / F.col("__row")).select("__class", "__cw")
-        counts = counts.join(F.broadcast(scale), "__class").withColumn("__d", F.col("__d") * F.col("__cw"))
+        size = voc.table.agg((F.count(F.lit(1)) * smooth).alias("__base"))
+        rows = classes.join(seen.groupBy("__class").agg(F.sum("__n").alias("__sum")), "__class", "left").crossJoin(size)  # one row
+        rows = rows.select("__class", (F.coalesce("__sum", F.lit(0)) + F.col("__base")).alias("__row"))
+        scale = rows.withColumn("__cw", F.sum("__row").over(W.partitionBy()) / F.col("__row")).select("__class", "__cw")
     elif isinstance(weights, dict):
-        scale = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"__class {dict(docs.dtypes)[label]}, __cw double")
-        counts = counts.join(F.broadcast(scale), "__class").withColumn("__d", F.col("__d") * F.col("__cw"))
-    elif weights not in (None, "none"):
+        given = classes.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"__class {dict(classes.dtypes)['__class']}, __cw double")
+        scale = classes.join(given, "__class")
+    elif weights in (None, "none"):
+        scale = classes.withColumn("__cw", F.lit(1.0))
+    else:
         raise ValueError(f"unknown class weights {weights!r}")
-    # entropy from two sums a token: log2(S) - sum(d log2 d) / S
-    d = F.col("__d")
-    per = counts.groupBy("token", "ndocs").agg(F.sum("__d").alias("s"), F.sum(F.when(d > 0, d * F.log2(d)).otherwise(0.0)).alias("e"), F.log2(F.count(F.lit(1)).cast("double")).alias("hmax"))
-    h = F.when(F.col("s") > 0, F.log2("s") - F.col("e") / F.col("s")).otherwise(0.0)
+    empty = F.col("__cw") * smooth
+    whole = scale.agg(F.coalesce(F.sum(empty), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum(f(empty)), F.lit(0.0)).alias("__e0"), F.log2(F.count(F.lit(1)).cast("double")).alias("hmax"))
+    d = F.col("__cw") * (F.col("__n") + smooth)
+    per = seen.join(scale, "__class").groupBy("token").agg(F.sum(d - empty).alias("__s"), F.sum(f(d) - f(empty)).alias("__e"))
+    every = voc.table.select("token", "ndocs").join(per, "token", "left").crossJoin(F.broadcast(whole))  # one row
+    s, e = F.col("__s0") + F.coalesce("__s", F.lit(0.0)), F.col("__e0") + F.coalesce("__e", F.lit(0.0))
+    h = F.when(s > 0, F.log2(s) - e / s).otherwise(0.0)
     weight = F.when(F.col("ndocs") < mindocs, 0.0).otherwise(_combine(comb, h, F.col("hmax"), F.col("ndocs")))
-    return per.select("token", weight.alias("weight"))
+    return every.select("token", weight.alias("weight"))
 
 
 def entropy_model(voc: Vocabulary, docs: DataFrame, label: str, local_weighting: str = "tf", **how) -> VectorModel:
@@ -110,6 +126,15 @@ def vectorize_bags(model: VectorModel, bags: DataFrame, normalize: bool = True,
     return unit(vec, key) if normalize else vec
 
 
+def vectorize_terms(model: VectorModel, terms: Terms, normalize: bool = True, minweight: float = MINWEIGHT) -> DataFrame:
+    """Sparse vectors of stored terms; those of the model's own documents need no look at what a document holds."""
+    if model.voc.terms is not terms:
+        return vectorize_bags(model, terms.bags.select("doc_id", "token", "tf"), normalize, minweight)
+    local = {"tf": F.col("tf") / F.max("tf").over(W.partitionBy("doc_id")), "freq": F.col("tf").cast("double"), "tp": F.col("tf") / F.col("doclen"), "binary": F.lit(1.0)}[model.local_weighting]
+    vec = terms.bags.join(model.weights.select("token", "weight"), "token").withColumn("w", local * F.col("weight")).where(F.col("w") >= minweight).select("doc_id", "token", "w")
+    return unit(vec) if normalize else vec
+
+
 def vectorize(model: VectorModel, docs: DataFrame, text: str = "text", normalize: bool = True, minweight: float = MINWEIGHT, **how) -> DataFrame:
     """Sparse vectors of documents."""
     return vectorize_bags(model, bag_of_words(model.voc, docs, text, **how), normalize, minweight)

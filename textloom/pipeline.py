@@ -59,10 +59,12 @@ def fit_profile(docs: DataFrame, cfg: FitConfig, text: str = "text") -> Profile:
     When lemmas are applied, vocabulary, weights and synonyms are rebuilt from
     the text read under the lemma map, so counts are exact.
     """
-    raw = vb.vocabulary(docs, cfg.policy, text)
+    raw = vb.terms(docs, cfg.policy, text).vocabulary()
     stop = frozenset(r["token"] for r in vb.stopword_candidates(raw, cfg.doc_freq_threshold).collect())
     read = materialize(cfg.policy, {}, stop if cfg.apply_stopwords else ())
-    voc = vb.vocabulary(docs, read, text, cfg.min_ndocs)
+    # the stored terms serve again where no stopword changes how the text is read
+    own = vb.terms(docs, read, text) if stop and cfg.apply_stopwords else raw.terms
+    voc = own.vocabulary(cfg.min_ndocs)
     model = vector_model(voc, cfg.global_weighting, cfg.local_weighting)
     syn, lemmas = None, {}
     if cfg.encoder != "none":
@@ -72,18 +74,20 @@ def fit_profile(docs: DataFrame, cfg: FitConfig, text: str = "text") -> Profile:
         if cfg.lemmas:
             lemmas = {r["token"]: r["lemma"] for r in lemma_clusters(voc.table, words, cfg.selector, cfg.morphology, cfg.morphology_threshold, min_common_prefix=cfg.min_common_prefix).collect()}
     if lemmas and cfg.apply_lemmas:
-        voc = vb.vocabulary(docs, materialize(cfg.policy, lemmas, stop if cfg.apply_stopwords else ()), text, cfg.min_ndocs)
+        voc = vb.terms(docs, materialize(cfg.policy, lemmas, stop if cfg.apply_stopwords else ()), text).vocabulary(cfg.min_ndocs)
         model = vector_model(voc, cfg.global_weighting, cfg.local_weighting)
         syn = synonyms_to_lemmas(syn, lemmas) if syn is not None else None
     return Profile(model, stop, lemmas, syn, Applied(cfg.apply_stopwords, cfg.apply_lemmas and bool(lemmas), False), (Step("fit", {"encoder": cfg.encoder}),))
 
 
-def fit_batches(docs: DataFrame, cfg: FitConfig, text: str = "text"):
-    """(batch number, profile) of each batch of documents in id order, one at a time."""
+def fit_batches(docs: DataFrame, cfg: FitConfig, text: str = "text", skip=lambda k: False):
+    """(batch number, profile) of each batch of documents in id order, one at a time; batches that ``skip`` names are not fitted."""
     if cfg.batch_size <= 0:
-        yield 0, fit_profile(docs, cfg, text)
+        if not skip(0):
+            yield 0, fit_profile(docs, cfg, text)
         return
     cut = batches(docs, cfg.batch_size)
     n = docs.count()
     for k in range(-(-n // cfg.batch_size)):
-        yield k, fit_profile(cut.where(F.col("batch_id") == k).drop("batch_id"), cfg, text)
+        if not skip(k):
+            yield k, fit_profile(cut.where(F.col("batch_id") == k).drop("batch_id"), cfg, text)

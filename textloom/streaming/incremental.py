@@ -7,13 +7,14 @@ has been written.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.config import TextConfig
 from textloom.operators import vocabulary as vb
 from textloom.operators.index import BM25Index
-from textloom.operators.tokens import term_frequencies, tokenize
 from textloom.operators.vocabulary import Vocabulary
 
 
@@ -35,19 +36,34 @@ def read_vocabulary(spark: SparkSession, root: str, cfg: TextConfig) -> Vocabula
     return Vocabulary(table, stats, cfg)
 
 
+def _part(token: str, buckets: int):
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
 def index_sink(root: str, cfg: TextConfig, text: str = "text", buckets: int = 64):
-    """foreachBatch function that appends bags partitioned by a hash of the token, so a search reads its tokens' parts only."""
+    """foreachBatch function that appends bags partitioned by a hash of the token, so a search can read its tokens' parts only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bags = term_frequencies(tokenize(batch, cfg, text)).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+        bags = vb.terms(batch, cfg, text).bags.select("doc_id", "token", "tf", "doclen").withColumn("part", _part("token", buckets))
         bags.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/batch={batch_id}")
 
     return write
 
 
-def read_index(spark: SparkSession, root: str, voc: Vocabulary, **how) -> BM25Index:
-    """Index over all batches stored so far."""
-    return BM25Index(voc, **how).append_bags(spark.read.parquet(root).select("doc_id", "token", "tf"))
+def read_index(spark: SparkSession, root: str, voc: Vocabulary, tokens: DataFrame | None = None, buckets: int = 64, **how) -> BM25Index:
+    """Index over all batches stored so far; given the ``tokens`` of some queries, only the parts that hold them are read.
+
+    Postings carry the length of their document, counted before they were cut
+    into parts, so scores don't depend on what is read.
+    """
+    stored = spark.read.parquet(root)
+    if tokens is not None:
+        # the number of parts bounds this
+        parts = [r["part"] for r in tokens.select(_part("token", buckets).alias("part")).distinct().collect()]
+        stored = stored.where(F.col("part").isin(parts))
+    index = BM25Index(voc, **how)
+    own = vb.keep_known(stored, voc).select("doc_id", "token", "tf", "doclen")
+    return replace(index, postings=own)
 
 
 def start(stream: DataFrame, sink, checkpoint: str, once: bool = False):
