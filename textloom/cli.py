@@ -6,7 +6,6 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from textloom.operators.index import grep
 from textloom.operators.profile import merge_profiles, refit_config, refit_profile
 from textloom.operators.tokens import tokenize
 from textloom.pipeline import fit_batches, load_config
+from textloom.scratch import Scratch
 from textloom.sources import profiles as store
 from textloom.sources.records import FORMATS, read_records
 
@@ -33,19 +33,23 @@ def _docs(spark, args):
 def _save(p, target: str) -> None:
     if not target.endswith(".zip"):
         raise SystemExit("the output must end in .zip")
-    with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(target))) as d:
-        store.save_profile(d, p)
-        store.zip_profile(d, target)
+    scratch = Scratch(p.model.weights.sparkSession, "profile")  # tables in the shared folder; only the zip is local
+    store.save_profile(f"{scratch.path}/p", p)
+    store.zip_profile(f"{scratch.path}/p", target)
+    scratch.drop("p")
 
 
 def cmd_fit(args) -> None:
     spark = _spark()
     cfg = load_config(args.config)
     parts = cfg.batch_size > 0
-    for k, p in fit_batches(_docs(spark, args), cfg, args.text_key):
-        target = args.output.removesuffix(".zip") + f"-{k:05d}.zip" if parts else args.output
-        if args.resume and os.path.exists(target):
-            continue
+
+    def target_of(k: int) -> str:
+        return args.output.removesuffix(".zip") + f"-{k:05d}.zip" if parts else args.output
+
+    # a batch whose profile is there is not fitted again
+    for k, p in fit_batches(_docs(spark, args), cfg, args.text_key, skip=lambda k: args.resume and os.path.exists(target_of(k))):
+        target = target_of(k)
         _save(p, target)
         print(target)
 
