@@ -1,61 +1,12 @@
-"""Working tables in the folder that all executors share."""
+"""Working tables in the folder that all executors share, and the number of tasks for a size."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from textloom.scratch import Scratch, shared_root
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent and the session is local (one process, as in
-    tests) a temporary folder is made once and stored in the session, so later
-    calls agree on it.  On a cluster its absence is an error: executors would
-    each write to a disk of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator call: written once, read back without lineage.
-
-    A lost executor costs nothing here: the files are committed by Spark's
-    writer to the shared folder and are read again by whichever task needs them.
-    What the result still reads is deleted when the driver ends, the rest by
-    ``drop`` as soon as its last reader is done.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-        p, fs = self._at(self.path)
-        fs.deleteOnExit(p)
-
-    def _at(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Store ``df`` as Parquet and return it as read back."""
-        schema = df.schema
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        for name in names:
-            p, fs = self._at(f"{self.path}/{name}")
-            fs.delete(p, True)
+__all__ = ["Scratch", "partitions", "shared_root"]
 
 
 def partitions(spark: SparkSession, size: float, each: float) -> int:
