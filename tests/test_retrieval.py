@@ -181,3 +181,32 @@ def test_synonyms_and_lemma_clusters_read_the_corpus(spark, tmp_path, monkeypatc
     queries.QUERIES["lemma_clusters"](spark, str(tmp_path))
     v = {r["token"]: r["emb"] for r in em.unit_rows(given[0]).collect()}
     assert sum(a * b for a, b in zip(v["comet"], v["orbit"])) > 0.99
+
+
+def test_empty_vocabulary_is_refused(spark):
+    for voc in (vb.empty(spark, TextConfig()), vb.terms(corpus(spark, ["", None]), TextConfig()).vocabulary()):
+        with pytest.raises(ValueError):
+            wt.vector_model(voc)
+
+
+def test_stored_terms_count_rows(spark):
+    """Rows that share an id, or have none, are documents of their own, as in a vocabulary of the texts."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c"), (None, "b"), (2, None), (3, "")], "doc_id int, text string")
+    stored, plain = vb.terms(docs, TextConfig()).vocabulary(), vb.vocabulary(docs, TextConfig())
+    rows = lambda v: sorted(map(tuple, v.table.select("token", "occs", "ndocs").collect()))
+    assert rows(stored) == rows(plain) == [("a", 3, 2), ("b", 2, 2), ("c", 1, 1)]
+    assert (stored.trainsize, stored.numtokens) == (plain.trainsize, plain.numtokens) == (5, 5)
+
+
+def test_ids_follow_frequency_and_token(spark):
+    rows = [(f"{a}{b}", (i + j) % 3, 1) for i, a in enumerate("abcxyz") for j, b in enumerate(["", "b", "bc", "é"])]
+    voc = vb.push_tokens(vb.empty(spark, TextConfig()), spark.createDataFrame(rows, vb.VOCAB))
+    got = [r["token"] for r in voc.with_ids().orderBy("token_id").collect()]
+    assert got == [t for t, n, _ in sorted(rows, key=lambda r: (-r[1], r[0].encode()))]
+
+
+def test_fit_and_given_clusters(spark):
+    from textloom.pipeline import FitConfig, fit_profile
+
+    p = fit_profile(corpus(spark, GARDEN), FitConfig(outdim=3, doc_freq_threshold=0.9, apply_lemmas=True, morphology_threshold=0.6))
+    assert p.stopwords == {"la"} and p.synonyms.where("token = 'casa'").count() > 0 and p.model.voc.get("la")["occs"] == 0
