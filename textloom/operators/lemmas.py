@@ -24,26 +24,32 @@ def qgrams(token: str, q: int) -> frozenset[str]:
     return frozenset(token[i : i + q] for i in range(len(token) - q + 1)) if len(token) >= q else frozenset([token])
 
 
-def levenshtein(a: str, b: str) -> int:
+def levenshtein(a: str, b: str, limit: float = float("inf")) -> int:
+    """Edit distance; beyond ``limit`` some number that is greater than it and not above the distance."""
+    if abs(len(a) - len(b)) > limit:
+        return abs(len(a) - len(b))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > limit:
+            return min(row)
     return row[-1]
 
 
-def _metric(morphology: str, q: int):
+def _metric(morphology: str, q: int, threshold: float = 1.0):
+    """(what is compared of a token, distance); distances over ``threshold`` need not be exact."""
     if morphology == "jaccard":
         return (lambda t: qgrams(t, q)), (lambda a, b: 1 - len(a & b) / len(a | b))
     if morphology == "levenshtein":
-        return (lambda t: t), (lambda a, b: levenshtein(a, b) / max(len(a), len(b), 1))
+        return (lambda t: t), (lambda a, b: levenshtein(a, b, threshold * max(len(a), len(b))) / max(len(a), len(b), 1))
     raise ValueError(f"unknown morphology {morphology!r}")
 
 
 def leader_groups(tokens: list[str], counts: list[int], selector: str, morphology: str, threshold: float, q: int) -> list[list[int]]:
     """Groups around seeds: in selector order the first free token takes all free tokens within reach of it."""
-    prepare, dist = _metric(morphology, q)
+    prepare, dist = _metric(morphology, q, threshold)
     reps = [prepare(t) for t in tokens]
     free = sorted(range(len(tokens)), key=lambda i: SELECTORS[selector](tokens[i], counts[i]))
     out = []
