@@ -412,6 +412,68 @@ def test_simhash_reads_shingles(spark):
     assert {tuple(r) for r in simhash.groups(df).select("doc_id", "keep_id").collect()} == {(1001, 1000), (1002, 1000)}
 
 
+def near_nodes(n, seed):
+    """Fingerprints and sketches of few and many bins, some of them changed copies of others."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+    s = rng.integers(1, 256, (n, simhash.BINS)).astype(np.uint8)
+    s[rng.random((n, simhash.BINS)) < rng.choice([0, 0, 0.3, 0.6, 0.85, 0.95], n)[:, None]] = 0
+    copy = rng.random(n) < 0.7
+    of = rng.integers(0, n // 10, n)
+    a[copy] = a[of[copy]]
+    for _ in range(6):
+        a[copy] ^= np.uint64(1) << rng.integers(0, 64, copy.sum(), np.uint64)
+    other = rng.random((n, simhash.BINS)) < rng.choice([0.2, 0.6, 0.75, 0.9], n)[:, None]
+    s[copy] = np.where(other, s * (rng.random(s.shape) < 0.5), s[of])[copy]
+    s[np.arange(n), rng.integers(0, simhash.BINS, n)] |= 1
+    return a, s
+
+
+def test_simhash_keys():
+    """No near pair is without a node in common, whatever the bins filled, and few other pairs have one."""
+    n = 3000
+    a, s = near_nodes(n, 21)
+    row, node = simhash.keys(a, s)
+    nodes = [set() for _ in range(n)]
+    for r, k in zip(row.tolist(), node.tolist()):
+        nodes[r].add(k)
+    found, shares = 0, set()
+    for i in range(n - 1):
+        j = i + 1 + np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= simhash.RADIUS)
+        for k in j[simhash.alike(s[i : i + 1], s[j])].tolist():
+            assert nodes[i] & nodes[k], (i, k)
+            found += 1
+            shares.add(int(((s[i] == s[k]) & (s[i] > 0)).sum()))
+    assert found > 500 and shares >= set(range(1, 13))
+    # texts apart, fifty thousand: each choice of agreeing blocks of bits would compare 4 % of all pairs
+    n = 50_000
+    rng = np.random.default_rng(22)
+    a, s = rng.integers(0, 2**64, n, np.uint64, endpoint=False), rng.integers(1, 256, (n, simhash.BINS)).astype(np.uint8)
+    row, node = simhash.keys(a, s)
+    _, many = np.unique(node, return_counts=True)
+    assert len(row) <= 50 * n and (many * (many - 1) // 2).sum() < 0.001 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 2])
+def test_simhash_large_nodes(spark, limit):
+    """Nodes are searched in full, each with each or split by blocks of bits, also one that all rows share."""
+    n = 1500
+    a, s = near_nodes(n, 23)
+    s[n // 2 :, :2] = 7
+    want = simhash.Forest(n)
+    for i in range(n - 1):
+        j = i + 1 + np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= simhash.RADIUS)
+        j = j[simhash.alike(s[i : i + 1], s[j])]
+        want.join(np.full(len(j), i), j)
+    words = s.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, x, *w) for i, (x, w) in enumerate(zip(a.view(np.int64).tolist(), words))], "rep long, a long, s0 long, s1 long, s2 long")
+    got = simhash.Forest(n)
+    for src, dst in simhash.links(nodes, limit=limit).collect():
+        got.join(np.array([src]), np.array([dst]))
+    every = np.arange(n)
+    assert (want.root(every) != every).sum() > 100 and (got.root(every) == want.root(every)).all()
+
+
 def test_sketch_share():
     """The share of equal bins follows the share of shingles in common."""
     rng = np.random.default_rng(13)

@@ -1,22 +1,26 @@
-"""SimHash near-dedup over a Gray-order hierarchical index.
+"""SimHash near-dedup over nodes of equal shingle bins and a Gray-order hierarchical index.
 
 A text's fingerprint is 64 signed sums over its distinct words; a sketch of its
 three-word shingles (the least shingle of each of BINS bins, one byte each) goes
 along and confirms pairs by their share of equal bins, so texts that only use
-the same words stay apart.  Two fingerprints within ``RADIUS``
-bits agree on at least ``AGREE`` of ``BLOCKS`` bit blocks, whichever they are;
-each choice of agreeing blocks is an upper node of the index, a masked pattern
-that all fingerprints below share, and tells which task holds them.  Below it
-the fingerprints are sorted by Gray rank and grouped by FANOUT, level by level;
-a node keeps the mask of bits its members share and their pattern.  Pairs of
-nodes are pruned as soon as the differences on commonly masked bits exceed the
-radius; surviving leaves are compared in full.  The search is exact.
+the same words stay apart.  A pair that is confirmed has two equal bins in one
+run of bins (``runs``), so each choice of two bins of a run, with their bytes, is
+a node and tells which task holds it; ``keys`` has the case of texts of a few
+shingles.  The fingerprints of a node are compared each with each up to LIMIT.
+
+A node beyond that is split: two fingerprints within ``RADIUS`` bits agree on at
+least ``AGREE`` of ``BLOCKS`` bit blocks, whichever they are, and for each choice
+the fingerprints that agree are sorted by Gray rank and grouped by FANOUT, level
+by level; an inner node keeps the mask of bits its members share and their
+pattern.  Pairs of nodes are pruned as soon as the differences on commonly
+masked bits exceed the radius, or when all their members are known to be one
+group; surviving leaves are compared in full.  The search is exact.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,9 @@ BINS = 24
 SHARE = 0.25
 #: Rows of the index a task.
 ROWS = 1_500_000
+#: Rows of a node that are compared each with each, and rows that are compared at once.
+LIMIT = 8192
+SPAN = 1 << 15
 FANOUT = 8
 #: Ids of dropped documents that are sent to all executors (16 MB) rather than shuffled to.
 BROADCAST_IDS = 2_000_000
@@ -105,6 +112,55 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def runs(share: int) -> list[list[int]]:
+    """The bins in ``share`` - 1 runs (one at least): of ``share`` bins, two are in one run.  Fewer runs are unions of more."""
+    most = ceil(SHARE * BINS) - 1
+    out = [list(range(BINS * i // most, BINS * (i + 1) // most)) for i in range(most)]
+    while len(out) > max(1, share - 1):
+        x, y, *rest = sorted(out, key=len)
+        out = [*rest, x + y]
+    return out
+
+
+def bin_pairs() -> list[tuple[int, int, int]]:
+    """(bin, bin, most bins that a text may have to share for the two to be a key), those of most first."""
+    most = {}
+    for share in range(2, ceil(SHARE * BINS) + 1):
+        for own in runs(share):
+            most |= {c: share for c in combinations(sorted(own), 2)}
+    return sorted(((x, y, share) for (x, y), share in most.items()), key=lambda c: -c[2])
+
+
+def keys(a: np.ndarray, sketch: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) for fingerprints and sketches: rows that are ``alike`` within ``radius`` bits have a node in common.
+
+    Alike rows share SHARE of the bins that the fuller one fills, thus two bins
+    of one of its ``runs``; the other row has that pair among its keys as well,
+    since its runs are the same or longer.  Rows that need not share more than
+    one bin are keyed by each of theirs too, along with a block of bits: of one
+    block more than the bits that may differ, one is equal.
+    """
+    need = np.ceil(SHARE * (sketch > 0).sum(1)).astype(np.int64)
+    order = np.argsort(need, kind="stable")
+    until = np.searchsorted(need[order], np.arange(BINS + 1), "right")
+    column = sketch[order].T.astype(np.int64)
+    rows, out = [], []
+    for i, (x, y, share) in enumerate(bin_pairs()):
+        b, c = column[x, : until[share]], column[y, : until[share]]
+        at = np.flatnonzero((b > 0) & (c > 0))
+        rows.append(order[at])
+        out.append(i << 16 | b[at] << 8 | c[at])
+    few = order[: until[1]]
+    for x in range(BINS) if len(few) else ():
+        own = few[sketch[few, x] > 0]
+        for k, mask in enumerate(block_masks(radius + 1)):
+            bits = (a[own] & np.uint64(mask)) // np.uint64(mask & -mask)
+            rows.append(own)
+            # nodes that fall together by chance only add comparisons
+            out.append(tx.mix(bits + np.uint64((x << 8 | k) << 40) + (sketch[own, x].astype(np.uint64) << np.uint64(32)) + np.uint64(1 << 56)).view(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def block_masks(blocks: int = BLOCKS) -> list[int]:
     """Bit masks of ``blocks`` nearly equal runs of the 64 bits."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
@@ -164,8 +220,31 @@ def _levels(f: np.ndarray, group: np.ndarray):
         level = nxt
 
 
-def near_pairs(f: np.ndarray, group: np.ndarray, radius: int = RADIUS, budget: int = 1 << 20):
-    """Yield (i, j) arrays, i < j, of rows of one group within ``radius`` bits.
+def node_pairs(f: np.ndarray, size: np.ndarray, radius: int = RADIUS):
+    """Yield (i, j) arrays, i < j, of rows of one node within ``radius`` bits.
+
+    Nodes of ``size`` rows follow each other, the largest first; each row is
+    compared with the k-th after it, for all k at once over SPAN rows.
+    """
+    end = np.cumsum(size)
+    g = 0
+    while g < len(size) and size[g] > 1:
+        base = end[g] - size[g]
+        h = max(g + 1, int(np.searchsorted(end, base + SPAN, "right")))
+        own, last = f[base : end[h - 1]], np.repeat(end[g:h] - base, size[g:h])
+        # nodes of more than k rows come first
+        more = np.searchsorted(-size[g:h], -np.arange(size[g]))
+        for k in range(1, size[g]):
+            n = end[g + more[k] - 1] - base
+            x = np.flatnonzero(np.bitwise_count(own[: n - k] ^ own[k:n]) <= radius)
+            x = x[x + k < last[x]]
+            if len(x):
+                yield base + x, base + x + k
+        g = h
+
+
+def near_pairs(f: np.ndarray, group: np.ndarray, label: np.ndarray, radius: int = RADIUS, budget: int = 1 << 20):
+    """Yield (i, j) arrays, i < j, of rows of one group and two labels within ``radius`` bits.
 
     Rows must be sorted by group and Gray rank.  ``budget`` bounds the pairs
     held at once, not those found.
@@ -174,6 +253,10 @@ def near_pairs(f: np.ndarray, group: np.ndarray, radius: int = RADIUS, budget: i
         return
     levels = _levels(f, group)
     top = len(levels) - 1
+    low, high = [label], [label]
+    for at, *_ in levels:
+        low.append(np.minimum.reduceat(low[-1], at))
+        high.append(np.maximum.reduceat(high[-1], at))
     roots = np.arange(len(levels[top][0]))
     stack = [(top, roots, roots)]
     while stack:
@@ -191,6 +274,8 @@ def near_pairs(f: np.ndarray, group: np.ndarray, radius: int = RADIUS, budget: i
         y = first[b][rep] + k % nb[rep]
         inner = x <= y if at else x < y
         x, y = x[inner], y[inner]
+        apart = np.minimum(low[at][x], low[at][y]) != np.maximum(high[at][x], high[at][y])
+        x, y = x[apart], y[apart]
         if at:
             mask, pattern = levels[at - 1][3], levels[at - 1][4]
             # accumulated differences on the bits that both nodes share
@@ -224,53 +309,81 @@ def prints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, f"doc_id long, {_PRINT}")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, agree: int = AGREE) -> DataFrame:
+def node_links(node: np.ndarray, rep: np.ndarray, a: np.ndarray, sketch: np.ndarray, radius: int = RADIUS, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) of a spanning forest of the near pairs in all nodes."""
+    order = np.argsort(node)
+    begin = np.flatnonzero(np.diff(node[order], prepend=node[order[:1]] - 1))
+    size = np.diff(begin, append=len(node))
+    # largest first, without nodes of one row
+    by = np.argsort(-size, kind="stable")[: (size > 1).sum()]
+    size = size[by]
+    order = order[np.arange(size.sum()) + np.repeat(begin[by] - np.cumsum(size) + size, size)]
+    a, sketch = a[order], sketch[order]
+    ids, local = np.unique(rep[order], return_inverse=True)
+    forest = Forest(len(ids))
+
+    def link(x, y):
+        # a pair whose ends are connected already needs no look at its texts
+        apart = forest.root(local[x]) != forest.root(local[y])
+        x, y = x[apart], y[apart]
+        good = alike(sketch[x], sketch[y])
+        forest.join(local[x[good]], local[y[good]])
+
+    large = int((size > limit).sum())
+    split = int(size[:large].sum())
+    owner = np.repeat(np.arange(large), size[:large])
+    for mask in upper_masks() if large else ():
+        part = a[:split] & mask
+        at = np.lexsort((gray_rank(a[:split]), part, owner))
+        own, new = a[at], np.ones(split, bool)
+        new[1:] = (part[at[1:]] != part[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+        group = np.cumsum(new)
+        # neighbours first: what they connect is skipped below
+        for k in (1, 2, 4, 8):
+            x = np.flatnonzero((group[k:] == group[:-k]) & (np.bitwise_count(own[k:] ^ own[:-k]) <= radius))
+            link(at[x], at[x + k])
+        for x, y in near_pairs(own, group, forest.root(local[at]), radius):
+            link(at[x], at[y])
+    for x, y in node_pairs(a[split:], size[large:], radius):
+        link(split + x, split + y)
+    root = forest.root(np.arange(len(ids)))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """(src, dst) edges that connect the same groups as all near pairs of ``nodes`` (rep, a, s0, ...).
 
     Each task replaces its pairs by a spanning forest, so a group of n costs n
     rows a task, not n squared.  The number of tasks follows the rows.
     """
-    masks = upper_masks(blocks, agree)
+
+    def columns(t):
+        a = t.column("a").to_numpy().view(np.uint64)
+        return a, np.stack([t.column(c).to_numpy() for c in _SKETCH], 1).view(np.uint8)
 
     def scatter(batches):
         for batch in batches:
-            a = batch.column("a").to_numpy().view(np.uint64)
-            # many masks: a few thousand rows at a time keep the batch small
-            for lo in range(0, len(a), 4096):
-                own = batch.slice(lo, 4096)
-                f = a[lo : lo + 4096]
-                for t, m in enumerate(masks):
-                    key = tx.mix((f & m) + np.uint64(t)) >> np.uint64(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own.columns], ["node", *own.schema.names])
+            # many keys: a few thousand rows at a time keep the batch small
+            for lo in range(0, batch.num_rows, 2048):
+                own = batch.slice(lo, 2048)
+                row, node = keys(*columns(own), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(node), *own.take(pa.array(row)).columns], ["node", *own.schema.names])
 
     def search(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        node = t.column("node").to_numpy()
-        rep = t.column("rep").to_numpy()
-        a = t.column("a").to_numpy().view(np.uint64)
-        order = np.lexsort((rep, gray_rank(a), node))
-        node, rep, a = node[order], rep[order], a[order]
-        sketch = np.stack([t.column(c).to_numpy()[order] for c in _SKETCH], 1).view(np.uint8)
-        ids, local = np.unique(rep, return_inverse=True)
-        forest = Forest(len(ids))
-        for x, y in near_pairs(a, node, radius):
-            # a pair whose ends are connected already needs no look at its texts
-            apart = forest.root(local[x]) != forest.root(local[y])
-            x, y = x[apart], y[apart]
-            good = alike(sketch[x], sketch[y])
-            forest.join(local[x[good]], local[y[good]])
-        every = np.arange(len(ids))
-        root = forest.root(every)
-        moved = root != every
-        if moved.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["src", "dst"])
-
-    assert comb(blocks, agree) == len(masks) and blocks - radius >= agree
+        src, dst = node_links(t.column("node").to_numpy(), t.column("rep").to_numpy(), *columns(t), radius, limit)
+        if len(src):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    assert BLOCKS - radius >= AGREE
     spread = nodes.select("rep", "a", *_SKETCH).mapInArrow(scatter, f"node long, rep long, {_PRINT}")
-    tasks = partitions(nodes.sparkSession, nodes.count() * len(masks), ROWS)
+    # full sketches have as many keys; others have fewer but for a few
+    each = sum(share == ceil(SHARE * BINS) for *_, share in bin_pairs())
+    tasks = partitions(nodes.sparkSession, nodes.count() * each, ROWS)
     return spread.repartition(tasks, "node").mapInArrow(search, "src long, dst long").distinct()
 
 
